@@ -11,14 +11,17 @@ A sequence of tokens is the encoding of its bytes exactly if it is a path of the
 50,000 merges its arcs number in the billions, so that they are kept as what the gadgets changed: the copied
 state, the lost arcs, and the time of each change; arcs that are looked up are memoised as a table.
 
-A word is encoded by one pass over its bytes. Each prefix of a word has one encoding, so that for each
-offset there is one last token whose arc leaves the last token at its own start.
+A word is encoded by following arcs from the start state, longest label first. Each prefix of a word has one encoding, so that
+an offset that the search comes back from need not be tried again.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from array import array
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +31,13 @@ from quillon.llm.common import slices
 
 #: Fixed: the pattern of the byte-level pre-tokenizer, as public tokenizer files use it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of Latin letters without superscripts, fractions and rare spaces, for which the classes can be
+#: spelt out and the standard library's faster engine gives the same words.
+_LATIN = "A-Za-zÀ-ÖØ-öø-\u01ba"
+_PLAIN_TEXT = re.compile("[\x00-\x1b\x20-\x84\x86-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u01ba\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+_PLAIN_PATTERN = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{_LATIN}0-9]").replace(r"\p{L}", f"[{_LATIN}]").replace(r"\p{N}", "[0-9]"))
 #: Entries that a worker's memo tables hold before they are emptied.
-MEMO = 300_000
+MEMO = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,7 +65,6 @@ class MergeAutomaton:
                 self.born[token] = -1
         for time, (a, b) in enumerate(merges):
             self._gadget(time, vocab[a], vocab[b], vocab[a + b])
-        self.longest = max(map(len, self.ids), default=1)
         self._start()
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
@@ -80,15 +87,29 @@ class MergeAutomaton:
 
     def _start(self) -> None:
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        # Every prefix of a token, so that a walk over bytes stops where no token goes on.
-        self.prefixes = {label[:k] for label, i in self.ids.items() if i in self.born for k in range(1, len(label) + 1)}
+        self.words = _Words(self)
+        live = {label: i for label, i in self.ids.items() if i in self.born}
+        # A trie of all tokens, and by each of its prefixes the longest token that it begins with.
+        self.trie, self.best = ahocorasick.Automaton(), {"": -1}
+        for label, i in sorted(live.items()):
+            name = label.decode("latin-1")
+            self.trie.add_word(name, i)
+            for k in range(1, len(name) + 1):
+                if name[:k] not in self.best:
+                    self.best[name[:k]] = live.get(label[:k], self.best[name[: k - 1]])
+        top = max(self.labels, default=0) + 1
+        self.lengths, self.shorter, self.spelt = [0] * top, [-1] * top, [b""] * top
+        for label, i in live.items():
+            self.lengths[i] = len(label)
+            self.shorter[i] = next((live[label[:k]] for k in range(len(label) - 1, 0, -1) if label[:k] in live), -1)
+        for i, label in self.labels.items():
+            self.spelt[i] = label
         self.cut = regex.compile(PATTERN)
         names = sorted(self.special, key=lambda s: (-len(s), s))
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words", "prefixes", "cut", "cut_special")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words", "trie", "best", "lengths", "shorter", "spelt", "cut", "cut_special")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -104,48 +125,78 @@ class MergeAutomaton:
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, ids, prefixes, born, has_arc = len(word), self.ids, self.prefixes, self.born, self.has_arc
-        last: list[int] = [-1] * (n + 1)
-        for start in range(n):
-            state = last[start]
-            if start and state < 0:
-                continue
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                part = word[start:end]
-                if part not in prefixes:
-                    break
-                token = ids.get(part)
-                if token is not None and token in born and last[end] < 0 and (not start or has_arc(state, token)):
-                    last[end] = token
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
-
-    def _packed(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            known = b"".join(i.to_bytes(4, "little") for i in self.encode_word(word.encode("utf-8")))
-            if len(word) <= 64:
-                self.words[word] = known
-        return known
+        """The path of the automaton that spells the word, searched longest label first.
+
+        An offset from which the search came back is marked, as each prefix has one path only; so
+        that no offset is left twice and the search is linear in the word.
+        """
+        n, path, at, dead = len(word), [], 0, set()
+        lengths, shorter, arcs, has_arc, best, reach = self.lengths, self.shorter, self.arcs, self.has_arc, self.best, self.trie.longest_prefix
+        last, rest = -1, word.decode("latin-1")
+        token = best[rest[: reach(rest)]] if n else -1
+        while at < n:
+            while token >= 0:
+                if not (dead and at + lengths[token] in dead):
+                    if last < 0:
+                        break
+                    known = arcs.get(last << 32 | token)
+                    if has_arc(last, token) if known is None else known:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                path.append(token)
+                last = token
+                at += lengths[token]
+                if at < n:
+                    rest = rest[lengths[token] :]
+                    token = best[rest[: reach(rest)]]
+            else:
+                dead.add(at)
+                token = path.pop()
+                last = path[-1] if path else -1
+                at -= lengths[token]
+                rest = word[at:].decode("latin-1")
+                token = shorter[token]
+        return path
+
+    def split(self, text: str) -> list[str]:
+        """The words whose bytes merge with each other."""
+        return (_PLAIN_PATTERN if _PLAIN_TEXT.fullmatch(text) else self.cut).findall(text)
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if self.cut_special is None:
-            return b"".join(map(self._packed, self.cut.findall(text)))
+            return b"".join(map(self.words.__getitem__, self.split(text)))
         out = []
         for k, part in enumerate(self.cut_special.split(text)):
-            out.append(self.special[part].to_bytes(4, "little") if k % 2 else b"".join(map(self._packed, self.cut.findall(part))))
+            out.append(self.special[part].to_bytes(4, "little") if k % 2 else b"".join(map(self.words.__getitem__, self.split(part))))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        """The labels of the arcs in turn; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
-        labels = self.labels
-        return b"".join([labels.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        """The labels of the arcs in turn; bytes that are no UTF-8 become U+FFFD, ids without a label nothing."""
+        try:
+            labels = b"".join(map(self.spelt.__getitem__, memoryview(ids).cast("I")))
+        except IndexError:
+            labels = b"".join(self.labels.get(i, b"") for i in memoryview(ids).cast("I"))
+        return labels.decode("utf-8", "replace")
+
+
+class _Words(dict):
+    """Packed ids by word, encoded when first asked for. When full, what was not asked for lately goes."""
+
+    def __init__(self, automaton: MergeAutomaton):
+        self.automaton, self.older = automaton, {}
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            packed = array("I", self.automaton.encode_word(word.encode("utf-8"))).tobytes()
+        if len(word) <= 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[word] = packed
+        return packed
 
 
 def load(path: str) -> MergeAutomaton:

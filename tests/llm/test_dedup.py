@@ -124,13 +124,13 @@ def test_suffix_dense_repeats(spark, parts):
 
 
 def test_suffix_repeated_rows_and_null_ids(spark):
-    text = "".join(random.Random(3).choice("abcdefgh") for _ in range(300))
+    text = "".join(random.Random(3).choices("abcdefgh", k=300))
     df = spark.createDataFrame([(1, text, 9), (1, text, 9), (None, text, 9)], "doc_id long, text string, doc int")
     assert sorted((str(r.doc_id), len(r.kept)) for r in suffix.cut_repeats(df).collect()) == [("1", 300), ("1", 300), ("None", 0)]
 
 
 def test_chunks_do_not_change_the_result(monkeypatch):
-    text = "".join(random.Random(5).choice("abc") for _ in range(5000)).encode()
+    text = "".join(random.Random(5).choices("abc", k=5000)).encode()
     whole = suffix.Sampler().stretches(text)
     monkeypatch.setattr(suffix, "CHUNK", 777)
     cut_up = suffix.Sampler().stretches(text)
