@@ -69,15 +69,20 @@ def randomness(token: Column) -> Column:
         .when(bare.rlike("^[A-Za-z0-9+/]+$"), _ALNUM + "+/")
         .otherwise(_ALNUM + "-_+/")
     )
-    places = F.transform(F.split(bare, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    return F.aggregate(
-        F.array(F.struct(places.alias("x"), F.char_length(alphabet).cast("double").alias("m"), F.size(places).cast("double").alias("n"))),
-        F.lit(1.0),
-        lambda _, s: _battery(s["x"], s["m"], s["n"]),
+    # One-element arrays bind what the lambdas below use for every character.
+    bind = lambda struct, f: F.transform(F.array(struct), f)[0]
+    places = lambda s: F.transform(F.split(s["bare"], ""), lambda c: F.instr(s["alphabet"], c).cast("double"))
+    mean = lambda s: F.aggregate(s["x"], F.lit(0.0), lambda a, v: a + v) / s["n"]
+    return bind(
+        F.struct(bare.alias("bare"), alphabet.alias("alphabet")),
+        lambda t: bind(
+            F.struct(places(t).alias("x"), F.char_length(t["alphabet"]).cast("double").alias("m"), F.char_length(t["bare"]).cast("double").alias("n")),
+            lambda s: bind(F.struct(s["x"].alias("x"), s["m"].alias("m"), s["n"].alias("n"), mean(s).alias("mean")), lambda u: _battery(u["x"], u["m"], u["n"], u["mean"])),
+        ),
     )
 
 
-def _battery(x: Column, m: Column, n: Column) -> Column:
+def _battery(x: Column, m: Column, n: Column, centre: Column) -> Column:
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
     squares = total(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda w: w == v)).cast("double"), F.lit(2.0)))
     k = m - 1
@@ -91,7 +96,6 @@ def _battery(x: Column, m: Column, n: Column) -> Column:
     spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
     run = F.when(spread > 1e-6, 2 * _normal_tail(F.abs((runs - mean) / F.sqrt(spread)))).otherwise(F.lit(0.0))
 
-    centre = total(x, lambda v: v) / n
     power = total(x, lambda v: (v - centre) * (v - centre))
     lagged = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - centre) * (p["b"] - centre))
     serial = F.when(power > 0, 2 * _normal_tail(F.abs((lagged / power + 1 / n) * F.sqrt(n)))).otherwise(F.lit(0.0))

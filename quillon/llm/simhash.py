@@ -65,8 +65,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_ONE = [_signed(1 << i) for i in range(64)]
-_TWO_IN_A_HALF = [_signed(1 << i | 1 << j) for half in (range(32), range(32, 64)) for i, j in combinations(half, 2)]
+_MASKS = [0, *(_signed(1 << i) for i in range(64)), *(_signed(1 << i | 1 << j) for half in (range(32), range(32, 64)) for i, j in combinations(half, 2))]
+#: Places in _MASKS: no flip, one flip, two flips within a half.
+_NONE, _ONE, _TWO_IN_A_HALF = [0], list(range(1, 65)), list(range(65, len(_MASKS)))
 
 
 def ball_links(prints: DataFrame) -> DataFrame:
@@ -75,14 +76,19 @@ def ball_links(prints: DataFrame) -> DataFrame:
     Following the links reaches exactly what following all pairs within the radius reaches.
     """
 
-    def flipped(df: DataFrame, masks: list[int]) -> DataFrame:
-        return df.select(F.explode(F.lit(masks).cast("array<long>")).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp")
+    masks = F.lit(_MASKS).cast("array<long>")
 
+    def flipped(df: DataFrame, places: list[int]) -> DataFrame:
+        # A row names its flips by their place in the list, which is shorter than the fingerprint itself.
+        spread = df.select(F.explode(F.lit(places).cast("array<smallint>")).alias("flips"), "fp")
+        return spread.select(F.col("fp").bitwiseXOR(F.get(masks, F.col("flips").cast("int"))).alias("key"), "flips")
+
+    origin = F.col("key").bitwiseXOR(F.get(masks, F.col("flips").cast("int")))
     even = prints.where(F.bit_count("fp") % 2 == 0)
-    near = flipped(prints, _ONE).union(even.select(F.col("fp").alias("key"), "fp"))
-    hubs = near.groupBy("key").agg(F.min("fp").alias("hub"))
-    met = near.union(flipped(even, _TWO_IN_A_HALF)).join(hubs.hint("shuffle_hash"), "key")
-    return met.where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS)).select("fp", "hub").distinct()
+    near = flipped(prints, _ONE).union(flipped(even, _NONE))
+    hubs = near.groupBy("key").agg(F.min(origin).alias("hub"))
+    met = near.union(flipped(even, _TWO_IN_A_HALF)).join(hubs.hint("shuffle_hash"), "key").select(origin.alias("fp"), "hub")
+    return met.where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

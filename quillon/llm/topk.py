@@ -81,13 +81,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     n_queries = max(1, (asked.agg(F.max("q")).first()[0] or 0) + 1)
     placed = candidates.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).withColumnRenamed("b", "d").groupBy("d", "c")
 
-    def histogram(shift: int):
+    def histogram(width: int, shift: int):
         def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             parts = []
             if len(left) and len(right):
                 scores = _scores(left, right, bound)
                 for query, low, needed, own in zip(left["query"], left.low, left.needed, scores):
-                    bins = own[(own >= low) & (own - low < 1 << (shift + BIN_BITS))] - low >> shift
+                    bins = own[(own >= low) & (own - low < 1 << width)] - low >> shift
                     value, n = np.unique(bins, return_counts=True)
                     value, n = value[::-1], n[::-1]
                     upto = np.searchsorted(np.cumsum(n), needed) + 1
@@ -98,8 +98,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
 
     shift = bits
     while shift > 0:
-        shift = max(0, shift - BIN_BITS)
-        counted = pairs(state).cogroup(placed).applyInPandas(histogram(shift), "query long, bin long, n long")
+        width, shift = shift, max(0, shift - BIN_BITS)
+        counted = pairs(state).cogroup(placed).applyInPandas(histogram(width, shift), "query long, bin long, n long")
         summed = counted.groupBy("query", "bin").agg(F.sum("n").alias("n"))
         # From the top: the first bin whose running count reaches what is needed, else the lowest there is.
         listed = summed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins")).join(state, "query")

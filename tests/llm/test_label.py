@@ -120,7 +120,7 @@ def test_battery_tells_random_tokens_from_words(spark):
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     keys = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (32, 40, 64, 80)] + ["".join(rng.choice("0123456789ABCDEF") for _ in range(40))]
-    words = ["internationalisation-and-localisation", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyzabcdefghij", "donaudampfschifffahrtsgesellschaft", "the_quick_brown_fox_jumps_over_it"]
+    words = ["internationalisation-and-localisation", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "abcdefghijklmnopqrstuvwxyzabcdefghij", "donaudampfschifffahrtsgesellschaft", "the_quick_brown_fox_jumps_over_it"]
     df = spark.createDataFrame([(i, f"see {t} here", t) for i, t in enumerate(keys + words)], "doc_id long, text string, secrets string")
     got = {r.doc_id: [(s.kind, s.value) for s in r.secrets] for r in secrets.scan(df).collect()}
     assert [bool(got[i]) for i in range(5)] == [True] * 5
