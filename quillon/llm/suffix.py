@@ -4,15 +4,15 @@ Plain doubling ranks every byte position at lengths 1, 2, 4, ... and sorts all (
 each time, which writes many times the corpus. Here the positions that are sorted grow with what
 repeats, not with the corpus:
 
-1. length 24: every 100-byte string names the leftmost smallest hash among its 24-byte substrings.
-   Equal strings name the same offset, so that only these sampled positions (one in 39 bytes or so)
-   are sorted by the rank of their 24-byte prefix; a position whose rank is unique is done.
-2. length up to 176: the position is ranked again by the whole stretch of bytes whose 100-byte strings name
-   it. Where that rank was seen in an earlier place, all of these strings repeat; where the 24-byte rank
+1. length 32: every 100-byte string names the leftmost smallest hash among its 32-byte substrings.
+   Equal strings name the same offset, so that only these sampled positions (one in 35 bytes or so)
+   are sorted by the rank of their 32-byte prefix; a position whose rank is unique is done.
+2. length up to 168: the position is ranked again by the whole stretch of bytes whose 100-byte strings name
+   it. Where that rank was seen in an earlier place, all of these strings repeat; where the 32-byte rank
    has one stretch only, its first place holds no repeat. Both are done.
 3. length 100, the threshold: the strings of the first places that are left are ranked one by one.
 
-Ranks are names given by hashes (64 bits of prefix and 64 of stretch together, 128 for strings); Spark
+Ranks are names given by hashes (64 bits of the prefix with 64 of the stretch or string that holds it); Spark
 sorts the (rank, document, offset) rows and finds each name's first place. Within a task a name is sent once, so that
 a passage in a third of all documents does not put a third of all rows under one key.
 """
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import checkpoint, slices, utf8
 
 LENGTH = 100
-PREFIX = 24
+PREFIX = 32
 #: Strings handled at once; longer texts are cut into overlapping chunks.
 CHUNK = 1 << 20
 _SPAN_BITS = 7
 _NO_ID = (1 << 63) - 1
+_SENT, _SENT_NAMES = "h long, c long, doc long, at long, seen boolean", ["h", "c", "doc", "at", "seen"]
 
 _mask = (1 << 64) - 1
 
@@ -117,8 +118,15 @@ def _first_in_task(columns: list[np.ndarray], ranks: int) -> tuple[np.ndarray, n
     return order, seen & same
 
 
-def _rows(names: str, columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names.split())
+def _sent(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows that meet others by their two ranks, in the order of place, which packs well."""
+    order, seen = _first_in_task(columns, 2)
+    known = np.empty(len(seen), bool)
+    known[order] = seen
+    h, c, doc, at = columns
+    # A repeat that is known here needs no meeting with others: it is dealt out evenly.
+    h = np.where(known, (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), h)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array(known)], _SENT_NAMES)
 
 
 def _stretch_batches(batches):
@@ -131,33 +139,23 @@ def _stretch_batches(batches):
             parts.append((h, c, np.full(len(h), doc, np.int64), first.astype(np.int64) << _SPAN_BITS | (last - first)))
         if not parts:
             continue
-        columns = [np.concatenate(x) for x in zip(*parts)]
-        order, seen = _first_in_task(columns, 2)
-        h, c, doc, at = (x[order] for x in columns)
-        # A repeat that is known here needs no meeting with others: it is dealt out evenly.
-        h = np.where(seen, (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), h)
-        yield _rows("h c doc at seen", [h, c, doc, at, seen])
+        yield _sent([np.concatenate(x) for x in zip(*parts)])
 
 
 def _string_batches(batches):
+    digest = xxhash.xxh3_64_intdigest
     for batch in slices(batches, 1024):
-        docs, texts, places = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+        docs, texts, stretches = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
         parts = []
         for i, doc in enumerate(docs):
             view = memoryview(texts[i].as_py())
-            for at in sorted(set(places[i].as_py())):
+            for at, h in sorted({(x["at"], x["h"]) for x in stretches[i].as_py()}):
                 first, more = at >> _SPAN_BITS, at & ((1 << _SPAN_BITS) - 1)
                 strings = range(first, min(first + more, len(view) - LENGTH) + 1)
-                names = b"".join(xxhash.xxh3_128_digest(view[p : p + LENGTH]) for p in strings)
-                pair = np.frombuffer(names, np.uint64).reshape(-1, 2)
-                parts.append((pair[:, 0], pair[:, 1], np.full(len(pair), doc, np.int64), np.arange(first, first + len(pair), dtype=np.int64)))
-        if not parts:
-            continue
-        columns = [np.concatenate(x) for x in zip(*parts)]
-        order, seen = _first_in_task(columns, 2)
-        a, b, doc, at = (x[order] for x in columns)
-        a = np.where(seen, (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), a)
-        yield _rows("a b doc at seen", [a, b, doc, at << _SPAN_BITS, seen])
+                names = np.fromiter((digest(view[p : p + LENGTH]) for p in strings), np.uint64, len(strings))
+                parts.append((np.full(len(names), h, np.int64).view(np.uint64), names, np.full(len(names), doc, np.int64), np.arange(first, first + len(names), dtype=np.int64) << _SPAN_BITS))
+        if parts:
+            yield _sent([np.concatenate(x) for x in zip(*parts)])
 
 
 def removed_spans(n: int, places: list[int] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -178,28 +176,27 @@ def removed_spans(n: int, places: list[int] | None, length: int = LENGTH) -> lis
 def _cut_batches(batches):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for part in slices(batches):
-        texts, places = part.column(1).to_pylist(), part.column(2).to_pylist()
+        texts, places = part.column(2).to_pylist(), part.column(3).to_pylist()
         spans = [removed_spans(len(t), p) for t, p in zip(texts, places)]
         kept = []
         for text, own in zip(texts, spans):
             edges = [0, *(x for span in own for x in span), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
         listed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), listed, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([part.column(1), pa.array(map(len, texts), pa.int64()), listed, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def repeated_places(docs: DataFrame) -> DataFrame:
-    """(doc, at): packed places of strings that start earlier too. docs: (doc, doc_id, text as bytes)."""
-    sent = docs.select("doc", "text").mapInArrow(_stretch_batches, "h long, c long, doc long, at long, seen boolean").repartition("h")
+def repeated_places(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(doc, at): packed places of strings that start earlier too. docs: (doc, doc_id, text as bytes); dealt: the same by doc."""
+    sent = docs.select("doc", "text").mapInArrow(_stretch_batches, _SENT).repartition("h")
     by_rank, by_prefix = Window.partitionBy("h", "c"), Window.partitionBy("h")
-    ranked = sent.select("doc", "at", "seen", (F.col("doc") > F.min("doc").over(by_rank)).alias("later"), (F.min("c").over(by_prefix) != F.max("c").over(by_prefix)).alias("mixed"))
-    ranked = ranked.select("doc", "at", (F.col("seen") | F.col("later")).alias("repeats"), "mixed").where("repeats or mixed")
-    ranked = checkpoint(ranked)
-    open_ = ranked.where("not repeats").groupBy("doc").agg(F.collect_list("at").alias("places"))
-    strings = docs.join(open_, "doc").select("doc", "text", "places").mapInArrow(_string_batches, "a long, b long, doc long, at long, seen boolean").repartition("a", "b")
-    later = F.col("doc") > F.min("doc").over(Window.partitionBy("a", "b"))
+    later = F.col("doc") > F.min("doc").over(by_rank)
+    ranked = sent.select("h", "doc", "at", (F.col("seen") | later).alias("repeats"), (F.min("c").over(by_prefix) != F.max("c").over(by_prefix)).alias("mixed"))
+    ranked = checkpoint(ranked.where("repeats or mixed").select(F.when(~F.col("repeats"), F.col("h")).alias("h"), "doc", "at"))
+    left = ranked.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("stretches"))
+    strings = dealt.join(left, "doc").select("doc", "doc_id", "text", "stretches").mapInArrow(_string_batches, _SENT).repartition("h")
     found = strings.select("doc", "at", (F.col("seen") | later).alias("repeats")).where("repeats").select("doc", "at")
-    return ranked.where("repeats").select("doc", "at").union(found)
+    return ranked.where("h is null").select("doc", "at").union(found)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -212,6 +209,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("doc_id").cast("long"), utf8().alias("text"))
-    places = repeated_places(keyed).groupBy("doc").agg(F.collect_list("at").alias("places"))
-    joined = keyed.join(places, "doc", "left").select("doc_id", "text", "places")
+    dealt = keyed.repartition("doc")  # both joins with the texts read this one exchange
+    places = repeated_places(keyed, dealt).groupBy("doc").agg(F.collect_list("at").alias("places"))
+    joined = dealt.join(places, "doc", "left").select("doc", "doc_id", "text", "places")
     return joined.mapInArrow(_cut_batches, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
