@@ -1,0 +1,17 @@
+"""When small files of a table are to be merged, as a pure function of its gauges.
+
+Pending files stand for what has not been merged yet. Near the limit merging is forced at once; otherwise it waits a least interval, and is due
+for a large log, a soft limit or a timer.
+"""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Fixed values of the policy: shares of the limit, seconds, and bytes of log.
+HARD, SOFT, LEAST_S, TIMER_S, LOG_BYTES = 0.90, 0.70, 5, 60, 1 << 30
+
+
+def trigger(pending: Column, limit: Column, seconds_since: Column, log_bytes: Column) -> Column:
+    """HARD, NONE, LOG_SIZE, SOFT or TIMER."""
+    ratio = pending / limit
+    return F.when(ratio >= HARD, "HARD").when(seconds_since < LEAST_S, "NONE").when(log_bytes >= LOG_BYTES, "LOG_SIZE").when(ratio >= SOFT, "SOFT").when(seconds_since >= TIMER_S, "TIMER").otherwise("NONE")

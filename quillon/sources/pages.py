@@ -1,0 +1,54 @@
+"""Fixed-size binary pages: cutting files into pages, and the checksum in a page's header."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes of a page and its header, and where the checksum stands in it.
+PAGE, HEADER, CHECKSUM_AT = 4096, 24, 16
+
+
+def cut(files: DataFrame, page_bytes: int = PAGE) -> DataFrame:
+    """(path, page_id, page) of binaryFile rows; a short last page is left out."""
+    n = F.floor(F.length("content") / page_bytes).cast("int")
+    spread = files.where(n > 0).select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("page_id"))
+    return spread.select("path", F.col("page_id").cast("long"), F.substring(F.col("content"), F.col("page_id") * page_bytes + 1, F.lit(page_bytes)).alias("page"))
+
+
+def checksum(page: Column) -> Column:
+    """CRC-32 of the page without its own checksum field."""
+    return F.crc32(F.concat(F.substring(page, 1, CHECKSUM_AT), F.substring(page, CHECKSUM_AT + 5, PAGE)))
+
+
+def little_endian(page: Column, at: int, n: int) -> Column:
+    """Unsigned integer of n bytes at an offset."""
+    octets = [F.conv(F.hex(F.substring(page, at + n - i, 1)), 16, 10).cast("decimal(20,0)") for i in range(n)]
+    value = octets[0]
+    for o in octets[1:]:
+        value = (value * 256 + o).cast("decimal(20,0)")
+    return value
+
+
+def verified(pages: DataFrame) -> DataFrame:
+    """Adds page_no, lsn, free_space, flags, and whether the stored checksum is right."""
+    page = F.col("page")
+    return pages.withColumns(
+        {
+            "page_no": little_endian(page, 0, 4).cast("long"),
+            "lsn": little_endian(page, 4, 8),
+            "free_space": little_endian(page, 12, 2).cast("int"),
+            "flags": little_endian(page, 14, 2).cast("int"),
+            "valid": little_endian(page, CHECKSUM_AT, 4).cast("long") == checksum(page),
+        }
+    )
+
+
+def record_header(record: Column) -> list[Column]:
+    """The fields of a log record's fixed header, little-endian."""
+    fields, at = [("type", 1), ("lsn", 8), ("txn", 8), ("page", 4), ("offset", 2), ("length", 2), ("prev_lsn", 8), ("size", 4)], 0
+    out = []
+    for name, n in fields:
+        out.append(little_endian(record, at, n).alias(name))
+        at += n
+    return out
