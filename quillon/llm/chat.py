@@ -26,8 +26,8 @@ def positioned(turns: DataFrame) -> DataFrame:
     dealt = checkpoint(turns.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order, "row").withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("part", "conv_id").orderBy(*order[1:], "row")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("conv_id", "part").count().select("conv_id", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    return dealt.withColumn("n", F.row_number().over(within)).join(counts, ["conv_id", "part"]).withColumn("position", (F.col("n") - 1 + F.col("offset")).cast("long")).drop("row", "part", "n", "offset")
+    counts = dealt.groupBy("conv_id", "part").count().select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    return dealt.withColumn("n", F.row_number().over(within)).join(counts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).withColumn("position", (F.col("n") - 1 + F.col("offset")).cast("long")).drop("row", "part", "n", "offset", "c", "p")
 
 
 def perspectives(conversations: DataFrame, piece_turns: int = PIECE_TURNS) -> DataFrame:
