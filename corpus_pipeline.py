@@ -39,9 +39,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the fitted rates say."""
+    """Repeats or drops documents as the fitted rates say; one whose likeliest domain is 'good' stays at least once."""
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
-    return mixing.copies(mixing.mix(docs, labelled, WEIGHTS, BUDGET)).select(docs.columns)
+    mixed = mixing.mix(docs, labelled, WEIGHTS, BUDGET)
+    rate = F.when(F.col("domain") == "good", F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate"))
+    return mixing.copies(mixed.withColumn("rate", rate)).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

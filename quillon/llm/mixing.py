@@ -21,6 +21,8 @@ from quillon.llm.common import checkpoint
 
 #: Labelled documents, about, that the classifier is fitted on, chosen by a hash of doc_id; and its vocabulary.
 LABELLED_ROWS, VOCABULARY = 10_000, 256
+#: Words count only from this chi-squared value on: about one in ten million for a word that tells nothing.
+LEAST_GAIN = 28.4
 #: Steps at most, relative error at which they end, and the largest rate.
 STEPS, TOLERANCE, MAX_RATE = 40, 1e-3, 8.0
 #: Production weights of the domains that the labels table tells apart.
@@ -89,7 +91,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_ROWS,
     every = sum((F.col(f"n{i}") for i in range(len(names))), F.lit(0))
     # Chi-squared distance of a word's presence from its presence overall, over the domains.
     gain = sum((F.pow(F.col(f"n{i}") - every * (sizes[n] / total), 2) / (every * (sizes[n] / total) * (1.0 - every / (total + 1.0))) for i, n in enumerate(names)), F.lit(0.0))
-    top = counts.where(every > 1).orderBy(gain.desc(), "word").limit(vocabulary).collect()
+    top = counts.where((every > 1) & (gain > LEAST_GAIN)).orderBy(gain.desc(), "word").limit(vocabulary).collect()
     start, words = [], {r["word"]: [] for r in top}
     for i, n in enumerate(names):
         start.append(math.log(sizes[n] / total))
