@@ -59,7 +59,7 @@ def row_at(df: DataFrame, order: list[str], position: int) -> DataFrame:
 
 def delete_at(df: DataFrame, order: list[str], position: int) -> DataFrame:
     """Without the row at a position, so that later positions move down; out of range changes nothing."""
-    return df.join(row_at(df.select(*order), order, position), order, "left_anti")
+    return df.join(row_at(df.select(*order), order, position), order, "left_anti").select(df.columns)
 
 
 def update_at(df: DataFrame, order: list[str], position: int, values: dict[str, Column]) -> DataFrame:
