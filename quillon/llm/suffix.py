@@ -31,7 +31,7 @@ LENGTH = 100
 PREFIX = 32
 #: Strings handled at once; longer texts are cut into overlapping chunks.
 CHUNK = 1 << 20
-_SPAN_BITS = 7
+_SPAN_BITS = 31
 _NO_ID = (1 << 63) - 1
 _SENT, _SENT_NAMES = "h long, c long, doc long, at long, seen boolean", ["h", "c", "doc", "at", "seen"]
 
@@ -48,7 +48,7 @@ class Sampler:
     """Finds in a text the sampled positions and the strings that name them."""
 
     def __init__(self, length: int = LENGTH, prefix: int = PREFIX):
-        assert 0 < prefix <= length and length - prefix < 1 << _SPAN_BITS
+        assert 0 < prefix <= length
         self.length, self.prefix = length, prefix
         self.values, self.base, inverse = _tables()
         self.powers, self.inverses = (self._powers(x, 4096) for x in (self.base, inverse))
@@ -124,9 +124,23 @@ def _sent(columns: list[np.ndarray]) -> pa.RecordBatch:
     known = np.empty(len(seen), bool)
     known[order] = seen
     h, c, doc, at = columns
-    # A repeat that is known here needs no meeting with others: it is dealt out evenly.
-    h = np.where(known, (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), h)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array(known)], _SENT_NAMES)
+    # Repeats that are known here need no meeting with others: their runs are joined, and dealt out evenly.
+    known_doc, known_at = doc[known], at[known]
+    first = known_at >> _SPAN_BITS
+    last = first + (known_at & ((1 << _SPAN_BITS) - 1))
+    begins = np.ones(len(first), bool)
+    begins[1:] = (known_doc[1:] != known_doc[:-1]) | (first[1:] != last[:-1] + 1)
+    begin = np.flatnonzero(begins)
+    run_doc, run_first, run_last = known_doc[begin], first[begin], last[np.append(begin[1:], len(last))[: len(begin)] - 1]
+    spread = (run_doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ run_first.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    sent = [
+        np.concatenate((h[~known].view(np.int64), spread.view(np.int64))),
+        np.concatenate((c[~known].view(np.int64), np.zeros(len(begin), np.int64))),
+        np.concatenate((doc[~known], run_doc)),
+        np.concatenate((at[~known], run_first << _SPAN_BITS | (run_last - run_first))),
+        np.repeat([False, True], [len(known) - len(first), len(begin)]),
+    ]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, sent)), _SENT_NAMES)
 
 
 def _stretch_batches(batches):
