@@ -37,7 +37,7 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-\u01ba"
 _PLAIN_TEXT = re.compile("[\x00-\x1b\x20-\x84\x86-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u01ba\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 _PLAIN_PATTERN = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{_LATIN}0-9]").replace(r"\p{L}", f"[{_LATIN}]").replace(r"\p{N}", "[0-9]"))
 #: Entries that a worker's memo tables hold before they are emptied.
-MEMO = 250_000
+MEMO = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -86,6 +86,7 @@ class MergeAutomaton:
                 return True
 
     def _start(self) -> None:
+        self.sent = None
         self.arcs: dict[int, bool] = {}
         self.words = _Words(self)
         live = {label: i for label, i in self.ids.items() if i in self.born}
@@ -109,7 +110,7 @@ class MergeAutomaton:
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words", "trie", "best", "lengths", "shorter", "spelt", "cut", "cut_special")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("sent", "arcs", "words", "trie", "best", "lengths", "shorter", "spelt", "cut", "cut_special")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -209,6 +210,14 @@ def load(path: str) -> MergeAutomaton:
     return MergeAutomaton(model["vocab"] | special, merges, special)
 
 
+def _broadcast(df: DataFrame, automaton: MergeAutomaton):
+    """One broadcast of an automaton for an application, so that a worker holds one copy and its memo lasts."""
+    context = df.sparkSession.sparkContext
+    if automaton.sent is None or automaton.sent[0] != context.applicationId:
+        automaton.sent = (context.applicationId, context.broadcast(automaton))
+    return automaton.sent[1]
+
+
 def encode(docs: DataFrame, automaton: MergeAutomaton, into: str = "ids") -> DataFrame:
     """Add the text's token ids, as little-endian unsigned 32-bit integers, in a binary column.
 
@@ -216,7 +225,7 @@ def encode(docs: DataFrame, automaton: MergeAutomaton, into: str = "ids") -> Dat
     column is replaced. Rows repeat as given, and an empty table gives an empty result. The broadcast automaton is
     bounded by the vocabulary.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = _broadcast(docs, automaton)
 
     def batches(it):
         made = shared.value
@@ -232,7 +241,7 @@ def encode(docs: DataFrame, automaton: MergeAutomaton, into: str = "ids") -> Dat
 
 def decode(encoded: DataFrame, automaton: MergeAutomaton, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the text that the ids stand for, special tokens included; null ids give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(automaton)
+    shared = _broadcast(encoded, automaton)
 
     def batches(it):
         made = shared.value
