@@ -49,11 +49,9 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = lines.removed_by_document(docs)
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    listed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(listed).cast("long").alias("n_removed"), listed.alias("removed_lines"))
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", n_lines.alias("n_lines")))
+    return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
