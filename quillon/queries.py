@@ -246,8 +246,10 @@ def split_items(spark, sf_dir):
 
 @query()
 def page_verify(spark, sf_dir):
-    """Pages cut from each document's repeated bytes, stamped with their checksum; every third is damaged afterwards."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.expr("cast(rpad(text, 8200, 'x') as binary)").alias("content"), F.col("doc_id").cast("string").alias("path"))
+    """Pages cut from all bytes of each document, the last one padded, stamped with their checksum; those of every third document are damaged afterwards."""
+    content = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    whole = F.greatest(F.ceil(F.length(content) / pages.PAGE), F.lit(1)) * pages.PAGE
+    d = _read(spark, sf_dir, "documents").select(F.rpad(content, whole.cast("int"), F.lit(b"x")).alias("content"), F.col("doc_id").cast("string").alias("path"))
     cut = pages.cut(d.select("path", "content"))
     stamp = F.unhex(F.concat(*[F.substring(F.lpad(F.hex(pages.checksum(F.col("page"))), 8, "0"), 7 - 2 * i, 2) for i in range(4)]))
     stamped = F.concat(F.substring("page", 1, pages.CHECKSUM_AT), stamp, F.substring(F.col("page"), pages.CHECKSUM_AT + 5, pages.PAGE - pages.CHECKSUM_AT - 4))

@@ -1,0 +1,22 @@
+from collections import Counter
+
+from quillon import queries
+from quillon.sources import pages
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_page_verify_cuts_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "é" * 10_000), (2, "a" * 4096), (3, "b" * 4097), (4, ""), (5, None)], "doc_id long, text string")
+    monkeypatch.setattr(queries, "_read", lambda *_: docs)
+    seen = []
+    cut = pages.cut
+    monkeypatch.setattr(pages, "cut", lambda files: seen.append(files) or cut(files))
+    assert Counter(r.path for r in queries.page_verify(spark, SF).collect()) == {"1": 5, "2": 1, "3": 2, "4": 1, "5": 1}
+    text = {r.path: bytes(r.content) for r in seen[0].collect()}
+    assert text["1"] == ("é" * 10_000).encode() + b"x" * 480 and text["2"] == b"a" * 4096 and text["3"] == b"b" * 4097 + b"x" * 4095
+
+
+def test_page_verify_counts_follow_the_bytes(spark):
+    want = {str(r.doc_id): max(1, -(-len((r.text or "").encode()) // 4096)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert Counter(r.path for r in queries.page_verify(spark, SF).collect()) == want
