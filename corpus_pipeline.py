@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that nearly repeat an earlier one; documents keep their rows, and n_chars follows the text."""
-    done = lines.dedup_lines(docs)
+    """Drops lines that nearly repeat an earlier one, and exact copies at any length; documents keep their rows, and n_chars follows the text."""
+    done = lines.dedup_lines(docs, short_copies=True)
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -50,7 +50,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", n_lines.alias("n_lines")))
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", n_lines.alias("n_lines")), short_copies=True)
     return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
