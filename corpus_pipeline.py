@@ -19,6 +19,8 @@ from quillon.llm.queries import automaton
 #: What the mixture is to hold, by domain, and its size in tokens against what comes in. The size is over one, so that good
 #: documents are wanted at least once and it is the others that are thinned out.
 WEIGHTS, BUDGET = {"good": 0.97, "low": 0.01, "toxic": 0.02}, 1.1
+#: Documents without a label stay whose posterior of 'good' is not clearly below that of the others.
+MAY_BE_GOOD = 0.05
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the fitted rates say; one whose likeliest domain is 'good' stays at least once."""
+    """Repeats or drops documents as the fitted rates say; one that is labelled 'good', or may be good, stays at least once."""
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(docs, labelled, WEIGHTS, BUDGET)
-    rate = F.when(F.col("domain") == "good", F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate"))
-    return mixing.copies(mixed.withColumn("rate", rate)).select(docs.columns)
+    labels = labelled.where(F.col("domain").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col("domain") == "good").alias("__good"))
+    known = mixed.join(labels, F.col("doc_id") == F.col("__doc"), "left")
+    good = F.coalesce("__good", F.col("posteriors")["good"] >= MAY_BE_GOOD, F.lit(False)) | (F.col("domain") == "good")
+    return mixing.copies(known.withColumn("rate", F.when(good, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate")))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@
    the words, and marks of a text's shape, that tell the domains apart best. The model is a few hundred numbers per domain.
 2. Every document gets its posterior p_k over domains, and its number of tokens n.
 3. Rates r >= 0 are fitted by projected gradient descent on the weighted squares of
-   sum_d r_d n_d p_dk - target_k. Each step is one sum over the documents; only one number per domain comes back.
+   sum_d r_d n_d p_dk - target_k, in the metric of the documents with a rate, until all targets are met or no step helps.
+   Each step is one sum over the documents; only a few numbers per pair of domains come back.
 
 A rate is the expected number of copies of a document in the mixture.
 """
@@ -12,6 +13,7 @@ A rate is the expected number of copies of a document in the mixture.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,8 +25,8 @@ from quillon.llm.common import checkpoint
 LABELLED_ROWS, VOCABULARY = 10_000, 256
 #: Words count only from this chi-squared value on: about one in ten million for a word that tells nothing.
 LEAST_GAIN = 28.4
-#: Steps at most, relative error at which they end, and the largest rate.
-STEPS, TOLERANCE, MAX_RATE = 40, 1e-3, 8.0
+#: Relative error at which the steps end, and the least share by which a plain gradient step has to lower the squares.
+TOLERANCE, STALLED = 1e-3, 1e-9
 #: Production weights of the domains that the labels table tells apart.
 WEIGHTS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -102,38 +104,59 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_ROWS,
     return Domains(names, start, words)
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, max_rate: float = MAX_RATE) -> Column:
-    """The rate as a column over members(n, p): the projected gradient steps from 1, one after the other.
+def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None = None) -> tuple[Column, np.ndarray]:
+    """The rate as a column over members(n, p), and by domain how much the mixture holds over its target.
 
-    The unknowns are scaled by 1 / n, the residuals by the root of sum n p_k^2, which makes the problem's curvature near one. A domain that
-    no document belongs to is left out.
+    Projected steps from 1, one after the other. The residuals are scaled by the root of sum n p_k^2. A step solves for the documents whose
+    rate is not 0; where that does not lower the squares, the plain gradient step does, whose curvature is that of all documents. There is no largest rate unless
+    one is given. A domain that no document belongs to is left out; a target that no rates reach leaves a residual.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
-    sums = members.agg(*[F.coalesce(F.sum(F.col("n") * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    m = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            m[i, j] = m[j, i] = sums[f"m{i}_{j}"]
-    scale = np.where(np.diag(m) > 0, np.diag(m), np.inf)
-    step = 1 / max(1e-12, np.linalg.eigvalsh(m / np.sqrt(np.outer(scale, scale))).max())
-    goal = np.array(targets)
-    rate = F.lit(1.0)
-    for _ in range(steps):
-        got = members.agg(*[F.coalesce(F.sum(rate * F.col("n") * p[i]), F.lit(0.0)) for i in range(k)]).first()
-        residual = np.array(got, float) - goal
-        if (np.abs(residual) <= TOLERANCE * np.maximum(goal, 1)).all():
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    goal = np.array(targets, float)
+
+    def rated(moves: list[np.ndarray]) -> Column:
+        def moved(r: Column, d: Column) -> Column:
+            to = F.greatest(F.lit(0.0), r - sum((d[i] * p[i] for i in range(k)), F.lit(0.0)))
+            return to if max_rate is None else F.least(F.lit(float(max_rate)), to)
+
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in d]) for d in moves]), F.lit(1.0), moved) if moves else F.lit(1.0)
+
+    def measured(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals, and the sums of n p_i p_j over the documents with a rate."""
+        r, n = F.col("r"), F.col("n")
+        found = members.select("n", "p", rated(moves).alias("r")).agg(
+            *[F.coalesce(F.sum(r * n * p[i]), F.lit(0.0)) for i in range(k)], *[F.coalesce(F.sum(F.when(r > 0, n * p[i] * p[j])), F.lit(0.0)) for i, j in pairs]
+        ).first()
+        m = np.zeros((k, k))
+        for (i, j), x in zip(pairs, found[k:]):
+            m[i, j] = m[j, i] = x
+        return np.array(found[:k], float) - goal, m
+
+    moves: list[np.ndarray] = []
+    residual, active = measured(moves)
+    diagonal = np.diag(active)  # all documents start with a rate
+    scale = np.sqrt(np.where(diagonal > 0, diagonal, np.inf))
+    step = 1 / max(1e-12, np.linalg.eigvalsh(active / np.outer(scale, scale)).max())
+    while (np.abs(residual) > TOLERANCE * np.maximum(goal, 1))[diagonal > 0].any():
+        x = residual / scale
+        tries = (np.linalg.pinv(active / np.outer(scale, scale), rcond=1e-10, hermitian=True) @ x / scale, step * x / scale)
+        for least, move in zip((0.5, STALLED), tries):
+            after = measured([*moves, move])
+            if ((after[0] / scale) ** 2).sum() <= (1 - least) * (x**2).sum():
+                moves, (residual, active) = [*moves, move], after
+                break
+        else:
             break
-        moved = rate - sum((float(step * residual[i] / scale[i]) * p[i] for i in range(k)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(max_rate), moved))
-    return rate
+    return rated(moves), residual
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float = 1.0) -> DataFrame:
     """Add n_tokens, domain (the likeliest), posteriors (map<string, double>) and rate.
 
     The expected tokens of domain k in the mixture, the sum of rate * n_tokens * p_k, are to be its share of the weights
-    times `budget` times all tokens; domains without a weight are to have none. A null or empty text has no tokens and takes no part in the
+    times `budget` times all tokens; domains without a weight are to have none. Targets that no rates meet are told in a warning. A null or empty text has no tokens and takes no part in the
     sums; its rate follows from its posterior like any other. All columns of docs are kept, but for those named like the
     new ones, which are replaced; rows repeat as given; an empty table gives an empty result.
     """
@@ -144,7 +167,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
     members = checkpoint(found.select(F.col("n_tokens").cast("double").alias("n"), F.col("posteriors").alias("p")))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
     whole = sum(weights.get(n, 0.0) for n in model.names) or 1.0
-    rate = fit_rates(members, [budget * total * weights.get(n, 0.0) / whole for n in model.names])
+    targets = [budget * total * weights.get(n, 0.0) / whole for n in model.names]
+    rate, residual = fit_rates(members, targets)
+    missed = {n: float(x) for n, x, t in zip(model.names, residual, targets) if abs(x) > TOLERANCE * max(t, 1)}
+    if missed:
+        warnings.warn(f"no rates meet the targets; tokens over or under, by domain: {missed}", stacklevel=2)
     names = F.array(*[F.lit(n) for n in model.names])
     best = names[F.array_position("posteriors", F.array_max("posteriors")).cast("int") - 1]
     rated = found.withColumn("p", F.col("posteriors"))
