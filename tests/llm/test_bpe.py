@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -25,12 +26,28 @@ def test_equals_the_library_on_mixed_pieces(library):
 
 
 def test_automaton_accepts_right_encodings_only():
-    made = bpe.MergeAutomaton({"a": 0, "b": 1, "aa": 2, "ab": 3, "aab": 4}, [("a", "a"), ("a", "b"), ("a", "ab")])
+    rest = [c for c in bpe.byte_letters() if c not in "ab"]
+    made = bpe.MergeAutomaton({"a": 0, "b": 1, "aa": 2, "ab": 3, "aab": 4} | {c: i for i, c in enumerate(rest, 5)}, [("a", "a"), ("a", "b"), ("a", "ab")])
     assert [made.encode_word(b"a" * n) for n in (1, 2, 3, 4)] == [[0], [2], [2, 0], [2, 2]]
     assert made.encode_word(b"aab") == [2, 1] and made.encode_word(b"aaab") == [2, 3] and made.encode_word(b"bab") == [1, 3]
     assert not made.has_arc(0, 0) and not made.has_arc(0, 2) and made.has_arc(2, 0)
 
 
+def test_a_byte_without_a_token_is_refused():
+    with pytest.raises(ValueError):
+        bpe.MergeAutomaton({"a": 0}, [])
+
+
+@pytest.mark.parametrize("letters", ["ab", "-", " ", "abcdefghijklmnopqrstuvwxyz", "é日"])
+def test_one_very_long_word_takes_linear_time(library, letters):
+    rng, made = random.Random(2), queries.automaton()
+    text = "".join(rng.choices(letters, k=1_000_000))
+    began = time.process_time()
+    got = np.frombuffer(made.encode(text), "<u4").tolist()
+    assert time.process_time() - began < 60
+    assert got == library.encode(text, add_special_tokens=False).ids and made.decode(made.encode(text)) == text
+
+
 def test_query_equals_the_library(spark, library):
     sf = "/root/testdata/sf0.001"
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -48,4 +65,8 @@ def test_edge_rows_and_clashing_columns(spark):
     done = bpe.decode(bpe.encode(df, made), made)
     assert done.columns == ["doc_id", "text", "__text", "ids", "decoded"]
     assert [(r.text or "") == r.decoded for r in done.collect()] == [True] * 5
-    assert bpe.encode(df.limit(0), made).count() == 0
+    both = bpe.encode_decode(df, made)
+    assert both.columns == done.columns and sorted(map(str, both.collect())) == sorted(map(str, done.collect()))
+    assert bpe.encode(df.limit(0), made).count() == bpe.encode_decode(df.limit(0), made).count() == 0
+    odd = spark.createDataFrame([(bytearray((99999).to_bytes(4, "little") + (64).to_bytes(4, "little")),), (None,)], "ids binary")
+    assert [r.decoded for r in bpe.decode(odd, made).collect()] == [made.spelt[64].decode(), ""]
