@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +45,9 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def with_lists(df: DataFrame, lists: DataFrame, key: str) -> DataFrame:
-    """Left join of `lists` (unique by key) that keeps rows whose key is null."""
-    return df.join(lists, key, "left")
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name that no given column has, in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every vertex that is not itself the smallest of its component.
 
-    `a` and `b` name two long columns. Null ends and self loops are ignored; repeated and
+    `a` and `b` name two columns of one type that can be ordered. Null ends and self loops are ignored; repeated and
     reversed edges count once; no edges give an empty table.
     """
     state = checkpoint(

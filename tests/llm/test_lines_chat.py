@@ -62,8 +62,8 @@ def test_similar_lines_against_all_pairs(spark):
     want = brute_pairs([t for _, t in rows])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     made = lines.split_lines(df)
-    text = {r.id: r.line for r in made.select("id", "line").distinct().collect()}
-    got = {tuple(sorted((text[r.a], text[r.b]))) for r in lines.similar(made).collect()}
+    text = {(r.id, r.more): r.line for r in made.select("id", "more", "line").distinct().collect()}
+    got = {tuple(sorted((text[tuple(r.a)], text[tuple(r.b)]))) for r in lines.similar(made).collect()}
     assert got <= want
     gone = {(r.doc_id, r.line_no) for r in lines.removed_lines(df).collect()}
     right = brute_removed(rows, want)
