@@ -1,4 +1,4 @@
-"""Exact repeated passages by distributed prefix doubling with a content-defined sample.
+"""Exact repeated passages by a content-defined sample whose strings are ranked by hashes at growing lengths.
 
 Plain doubling ranks every byte position at lengths 1, 2, 4, ... and sorts all (position, rank) pairs
 each time, which writes many times the corpus. Here the positions that are sorted grow with what
@@ -31,7 +31,7 @@ LENGTH = 100
 PREFIX = 32
 #: Strings handled at once; longer texts are cut into overlapping chunks.
 CHUNK = 1 << 20
-_SPAN_BITS = 31
+_SPAN_BITS = 7
 _NO_ID = (1 << 63) - 1
 _SENT, _SENT_NAMES = "h long, c long, doc long, at long, seen boolean", ["h", "c", "doc", "at", "seen"]
 
@@ -48,7 +48,7 @@ class Sampler:
     """Finds in a text the sampled positions and the strings that name them."""
 
     def __init__(self, length: int = LENGTH, prefix: int = PREFIX):
-        assert 0 < prefix <= length
+        assert 0 < prefix <= length and length - prefix < 1 << _SPAN_BITS
         self.length, self.prefix = length, prefix
         self.values, self.base, inverse = _tables()
         self.powers, self.inverses = (self._powers(x, 4096) for x in (self.base, inverse))
@@ -124,23 +124,9 @@ def _sent(columns: list[np.ndarray]) -> pa.RecordBatch:
     known = np.empty(len(seen), bool)
     known[order] = seen
     h, c, doc, at = columns
-    # Repeats that are known here need no meeting with others: their runs are joined, and dealt out evenly.
-    known_doc, known_at = doc[known], at[known]
-    first = known_at >> _SPAN_BITS
-    last = first + (known_at & ((1 << _SPAN_BITS) - 1))
-    begins = np.ones(len(first), bool)
-    begins[1:] = (known_doc[1:] != known_doc[:-1]) | (first[1:] != last[:-1] + 1)
-    begin = np.flatnonzero(begins)
-    run_doc, run_first, run_last = known_doc[begin], first[begin], last[np.append(begin[1:], len(last))[: len(begin)] - 1]
-    spread = (run_doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ run_first.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    sent = [
-        np.concatenate((h[~known].view(np.int64), spread.view(np.int64))),
-        np.concatenate((c[~known].view(np.int64), np.zeros(len(begin), np.int64))),
-        np.concatenate((doc[~known], run_doc)),
-        np.concatenate((at[~known], run_first << _SPAN_BITS | (run_last - run_first))),
-        np.repeat([False, True], [len(known) - len(first), len(begin)]),
-    ]
-    return pa.RecordBatch.from_arrays(list(map(pa.array, sent)), _SENT_NAMES)
+    # A repeat that is known here needs no meeting with others: it is dealt out evenly.
+    h = np.where(known, (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), h)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array(known)], _SENT_NAMES)
 
 
 def _stretch_batches(batches):
@@ -213,16 +199,33 @@ def repeated_places(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     return ranked.where("h is null").select("doc", "at").union(found)
 
 
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """keyed(doc, doc_id, text), with doc a number of its own for each different text, in the order of doc_id, where an id has several.
+
+    Numbers come from range partitions and one count per partition, never from one task that sorts the table.
+    """
+    if keyed.groupBy("doc").count().where("count > 1").isEmpty():
+        return keyed
+    digest = F.xxhash64("text")
+    ranged = checkpoint(keyed.select("doc", digest.alias("digest")).distinct().repartitionByRange("doc", "digest").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("doc", "digest"))
+    numbers = ranged.withColumn("n", within).join(offsets, "part").select("doc", "digest", (F.col("n") + F.col("offset")).cast("long").alias("number"))
+    return keyed.withColumn("digest", digest).join(numbers, ["doc", "digest"]).select(F.col("number").alias("doc"), "doc_id", "text")
+
+
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row of docs(doc_id, text).
 
     spans are the maximal [start, end) runs of bytes covered by a 100-byte string that also starts in a
     document with a smaller doc_id or earlier in the same one; kept is what is left, as bytes.
-    A null text counts as empty, a text under 100 bytes keeps everything. Null doc_ids count as one
-    document after all others. Rows that repeat a doc_id are one document: they do not repeat each other at the same offset. Other
-    columns are ignored; an empty table gives an empty result.
+    A null text counts as empty, a text under 100 bytes keeps everything. Null doc_ids come after all others. Rows with
+    one doc_id and different texts are documents of their own, in an order of their texts' hashes; rows that repeat id and text are one
+    document, and do not repeat each other at the same offset. Other columns are ignored; an empty table gives an empty result.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("doc_id").cast("long"), utf8().alias("text"))
+    keyed = _numbered(keyed)
     dealt = keyed.repartition("doc")  # both joins with the texts read this one exchange
     places = repeated_places(keyed, dealt).groupBy("doc").agg(F.collect_list("at").alias("places"))
     joined = dealt.join(places, "doc", "left").select("doc", "doc_id", "text", "places")

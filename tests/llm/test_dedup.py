@@ -129,6 +129,15 @@ def test_suffix_repeated_rows_and_null_ids(spark):
     assert sorted((str(r.doc_id), len(r.kept)) for r in suffix.cut_repeats(df).collect()) == [("1", 300), ("1", 300), ("None", 0)]
 
 
+def test_suffix_texts_that_share_an_id_lose_their_own_bytes_only(spark):
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choices("abcdefgh", k=n)) for n in (150, 300, 300))
+    for key in (2, None):
+        df = spark.createDataFrame([(1, a), (key, a + b), (key, c)], "doc_id long, text string")
+        got = sorted((len(r.kept), r.n_bytes) for r in suffix.cut_repeats(df).collect())
+        assert got == [(150, 150), (300, 300), (300, 450)]
+
+
 def test_chunks_do_not_change_the_result(monkeypatch):
     text = "".join(random.Random(5).choices("abc", k=5000)).encode()
     whole = suffix.Sampler().stretches(text)
