@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
+from quillon.llm.common import checkpoint, fresh
 
 #: Labelled documents, about, that the classifier is fitted on, chosen by a hash of doc_id; and its vocabulary.
 LABELLED_ROWS, VOCABULARY = 10_000, 256
@@ -104,8 +104,18 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_ROWS,
     return Domains(names, start, words)
 
 
-def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None = None) -> tuple[Column, np.ndarray]:
-    """The rate as a column over members(n, p), and by domain how much the mixture holds over its target.
+def rated(moves: list[np.ndarray], p: Column, max_rate: float | None = None) -> Column:
+    """The rate of a document with posteriors p: 1, moved step by step and kept at 0 or more."""
+
+    def moved(r: Column, d: Column) -> Column:
+        to = F.greatest(F.lit(0.0), r - sum((d[i] * p[i] for i in range(len(moves[0]))), F.lit(0.0)))
+        return to if max_rate is None else F.least(F.lit(float(max_rate)), to)
+
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in d]) for d in moves]), F.lit(1.0), moved) if moves else F.lit(1.0)
+
+
+def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The steps of rated() over members(n, p), and by domain how much the mixture holds over its target.
 
     Projected steps from 1, one after the other. The residuals are scaled by the root of sum n p_k^2. A step solves for the documents whose
     rate is not 0; where that does not lower the squares, the plain gradient step does, whose curvature is that of all documents. There is no largest rate unless
@@ -116,17 +126,10 @@ def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None =
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     goal = np.array(targets, float)
 
-    def rated(moves: list[np.ndarray]) -> Column:
-        def moved(r: Column, d: Column) -> Column:
-            to = F.greatest(F.lit(0.0), r - sum((d[i] * p[i] for i in range(k)), F.lit(0.0)))
-            return to if max_rate is None else F.least(F.lit(float(max_rate)), to)
-
-        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in d]) for d in moves]), F.lit(1.0), moved) if moves else F.lit(1.0)
-
     def measured(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Residuals, and the sums of n p_i p_j over the documents with a rate."""
         r, n = F.col("r"), F.col("n")
-        found = members.select("n", "p", rated(moves).alias("r")).agg(
+        found = members.select("n", "p", rated(moves, F.col("p"), max_rate).alias("r")).agg(
             *[F.coalesce(F.sum(r * n * p[i]), F.lit(0.0)) for i in range(k)], *[F.coalesce(F.sum(F.when(r > 0, n * p[i] * p[j])), F.lit(0.0)) for i, j in pairs]
         ).first()
         m = np.zeros((k, k))
@@ -149,7 +152,7 @@ def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None =
                 break
         else:
             break
-    return rated(moves), residual
+    return moves, residual
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float = 1.0) -> DataFrame:
@@ -163,23 +166,27 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
     new = ["n_tokens", "domain", "posteriors", "rate"]
     model = fit_domains(docs, labelled)
     given = [c for c in docs.columns if c not in new]
-    found = docs.select(*given, tokens(F.col("text")).alias("n_tokens"), model.posteriors(F.col("text")).alias("posteriors"))
+    found = checkpoint(docs.select(*given, tokens(F.col("text")).alias("n_tokens"), model.posteriors(F.col("text")).alias("posteriors")))
     members = checkpoint(found.select(F.col("n_tokens").cast("double").alias("n"), F.col("posteriors").alias("p")))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
     whole = sum(weights.get(n, 0.0) for n in model.names) or 1.0
     targets = [budget * total * weights.get(n, 0.0) / whole for n in model.names]
-    rate, residual = fit_rates(members, targets)
+    moves, residual = fit_rates(members, targets)
     missed = {n: float(x) for n, x, t in zip(model.names, residual, targets) if abs(x) > TOLERANCE * max(t, 1)}
     if missed:
         warnings.warn(f"no rates meet the targets; tokens over or under, by domain: {missed}", stacklevel=2)
     names = F.array(*[F.lit(n) for n in model.names])
     best = names[F.array_position("posteriors", F.array_max("posteriors")).cast("int") - 1]
-    rated = found.withColumn("p", F.col("posteriors"))
-    return rated.select(*given, "n_tokens", best.alias("domain"), F.map_from_arrays(names, "p").alias("posteriors"), F.round(rate, 6).alias("rate"))
+    found = found.withColumn("rate", F.round(rated(moves, F.col("posteriors")), 6))
+    return found.select(*given, "n_tokens", best.alias("domain"), F.map_from_arrays(names, "posteriors").alias("posteriors"), "rate")
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """The mixture's rows: each of `mixed` as often as its rate says, the fraction decided by a hash of doc_id."""
+    """The mixture's rows: each of `mixed` as often as its rate says, the fraction decided by a hash of doc_id.
+
+    A row without a rate is left out; all columns are kept; an empty table gives an empty result.
+    """
     even = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(77)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(F.col("rate") + even).cast("int")
-    return mixed.withColumn("copies", times).where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    times = F.floor(F.coalesce("rate", F.lit(0.0)) + even * (F.col("rate") > 0).cast("double")).cast("int")
+    each = fresh(mixed.columns, "copy")
+    return mixed.where(times > 0).withColumn(each, F.explode(F.sequence(F.lit(1), times))).drop(each)

@@ -18,11 +18,13 @@ def test_rare_domain_reaches_its_target(spark):
 
 def test_residual_of_a_target_out_of_reach_is_told(spark):
     members = spark.createDataFrame([(10.0, [1.0, 0.0]), (10.0, [0.5, 0.5])], "n double, p array<double>")
-    rate, residual = mixing.fit_rates(members, [2.0, 18.0])
+    moves, residual = mixing.fit_rates(members, [2.0, 18.0])
+    rate = mixing.rated(moves, F.col("p"))
     got = members.select("n", "p", rate.alias("r")).collect()
     held = [sum(r.n * r.p[i] * r.r for r in got) for i in (0, 1)]
     assert residual.tolist() == pytest.approx([held[0] - 2, held[1] - 18]) and residual.max() > 1
-    rate, residual = mixing.fit_rates(members, [20.0, 4.0])
+    moves, residual = mixing.fit_rates(members, [20.0, 4.0])
+    rate = mixing.rated(moves, F.col("p"))
     assert abs(residual).max() < 0.1
 
 
@@ -33,3 +35,12 @@ def test_clean_documents_stay_whatever_the_classifier_says(spark, monkeypatch):
     domain = {r.doc_id: r.domain for r in mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     want = {r.doc_id for r in docs.collect() if domain.get(r.doc_id, "good" if r.doc_id % 2 == 0 else "low") == "good"}
     assert {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()} == want
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 8, "x"), (2, None, 7, 8, "y"), (None, "d", 7, 8, "z")], "doc_id long, text string, p int, copies int, copy string")
+    labels = spark.createDataFrame([(1, "a")], "doc_id long, domain string")
+    mixed = mixing.mix(df, labels, {"a": 1.0})
+    assert {(r.p, r.copies) for r in mixed.collect()} == {(7, 8)}
+    many = mixing.copies(mixed.withColumn("rate", F.when(F.col("doc_id") == 1, 3.0).when(F.col("doc_id") == 2, 0.0)))
+    assert many.columns == mixed.columns and sorted((r.doc_id, r.copy) for r in many.collect()) == [(1, "x")] * 3
