@@ -8,6 +8,8 @@ training texts of that centroid are marked as rejected.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,12 +19,13 @@ from quillon.llm.common import slices
 
 WIDTH = 1 << 13
 CENTROIDS = 4
-#: Texts per language, about, that the centroids are fitted on; and the most languages that are learned.
+#: Texts per language, about, that the centroids are fitted on.
 LEARNED_ROWS = 400
-LANGUAGES = 64
 #: Share of its training texts that a centroid may leave outside its reach.
 OUTSIDE = 0.005
 UNKNOWN = "und"
+#: Steps in which the share of a language's texts that is learned from is told.
+SHARES = 1 << 40
 
 _LOWER: list = []
 
@@ -101,35 +104,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = LEARNED_ROWS, languages: int = LANGUAGES) -> Centroids:
+def fit(docs: DataFrame, rows: int = LEARNED_ROWS) -> Centroids:
     """Learn from docs(doc_id, text, lang); null langs and texts without a letter take no part.
 
-    The centroids and the weights are fitted on about `rows` texts of each language, chosen by a hash of doc_id,
-    for the most frequent `languages`. The sample's size is thereby bounded, whatever the corpus holds.
+    The centroids and the weights are fitted on about `rows` texts of each language, chosen by a hash of doc_id
+    (a doc_id that repeats counts as often). The sample follows the number of languages, not of documents; only counts that are not 0 are sent.
     """
     known = docs.where(F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return Centroids([], np.zeros((0, WIDTH), np.float32), np.ones(WIDTH, np.float32), np.zeros(0))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, rows / r["count"]) * 1_000_000)))])
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(6)), F.lit(1_000_000))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(max(1, int(min(1.0, rows / r["count"]) * SHARES))))])
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(6)), F.lit(SHARES))
     chosen = known.where(place < share[F.col("lang")]).select("text", "lang")
 
     def batches(it):
         for batch in slices(it, 64):
             made = [grams(t) for t in batch.column(0).to_pylist()]
-            packed = [None if g is None else g.astype(np.float32).tobytes() for g in made]
+            packed = [None if g is None else np.stack((at := np.flatnonzero(g), g[at])).astype("<f4").tobytes() for g in made]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1)], ["grams", "lang"])
 
     found = chosen.mapInArrow(batches, "grams binary, lang string").where("grams is not null").toPandas()
-    order = sorted(range(len(found)), key=lambda i: (found.lang[i], found.grams[i]))
-    x = np.log1p(np.stack([np.frombuffer(found.grams[i], np.float32) for i in order])) if order else np.zeros((0, WIDTH), np.float32)
-    names = [found.lang[i] for i in order]
-    weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _normal(x * weights)
+    sparse = sorted(zip(found.lang, found.grams))  # the fit doesn't hang on the order in which rows come
+    seen = np.zeros(WIDTH)
+    for _, packed in sparse:
+        seen[np.frombuffer(packed, "<f4").reshape(2, -1)[0].astype(np.int64)] += 1
+    weights = (np.log((1 + len(sparse)) / (1 + seen)) + 1).astype(np.float32)
     labels, centres, reach = [], [], []
-    for name in sorted(set(names)):
-        own = x[[i for i, n in enumerate(names) if n == name]]
+    for name, group in groupby(sparse, key=lambda x: x[0]):
+        own = np.zeros((len(group := list(group)), WIDTH), np.float32)
+        for row, (_, packed) in zip(own, group):
+            at, n = np.frombuffer(packed, "<f4").reshape(2, -1)
+            row[at.astype(np.int64)] = np.log1p(n)
+        own = _normal(own * weights)
         made, place_ = _clusters(own, CENTROIDS)
         for j, centre in enumerate(made):
             if (place_ == j).any():

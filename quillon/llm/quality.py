@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ FEATURES = {
 _DIRECTIONS = np.array(list(FEATURES.values()))
 
 
+@cache
+def _upper_letters() -> np.ndarray:
+    """By code point, whether it is a capital, in any script."""
+    return np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)
+
+
 def repeat_words(ids: list[int], width: int = WINDOW) -> int:
     """Words that lie in a window of `width` words found twice or more."""
     n = len(ids)
@@ -72,9 +79,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     repeated = repeat_words(words)
     counts = [n, chars, symbols, dup_lines, repeated]
     distinct = set(words)
-    letters = [c for c in text if c.isalpha()] if n < 40 else None
-    sample = "".join(letters) if letters is not None else text
-    upper = sum(1 for c in sample if c.isupper()) if letters is not None else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = int(_upper_letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].sum())
     features = [
         np.log1p(n),
         chars / max(1, n),

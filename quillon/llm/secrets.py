@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
-
 #: The base patterns, in the order in which kinds are listed, and the fewest characters.
 _ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -127,11 +125,13 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
     # Benjamini and Hochberg over bins of the weighted p-values: one small row per bin, whatever the corpus.
     upper = F.ceil(F.least(F.lit(1.0), F.col("p")) * _BINS)
-    bins = found.select(F.explode("tokens").alias("x")).select("x.p").groupBy(upper.cast("int").alias("bin")).count().orderBy("bin").collect()
+    tokens = found.select(F.explode("tokens").alias("x")).select("x.p", weight(F.col("x")).alias("w"))
+    bins = tokens.groupBy(upper.cast("int").alias("bin")).agg(F.count("*").alias("count"), F.sum("w").alias("w")).orderBy("bin").collect()
     total, running, limit = sum(r["count"] for r in bins), 0, -1.0
+    mean = sum(r["w"] for r in bins) / max(1, total)  # weights average 1 when divided by it, as the control of the rate asks
     for r in bins:
         running += r["count"]
-        if r["bin"] / _BINS <= rate * running / total:
+        if r["bin"] / _BINS * mean <= rate * running / total:
             limit = r["bin"] / _BINS
     random = F.transform(F.filter("tokens", lambda s: s["p"] > limit), lambda s: F.struct(s["start"], s["end"], s["value"]))
 

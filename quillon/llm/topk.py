@@ -29,7 +29,7 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     """(vec_id, ints): floor(256 x) for each component; rows without a usable vector or id are left out."""
     wide = F.col(embedding).cast("array<double>")
     usable = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(usable).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(x * SCALE).cast("long")).alias("ints")).distinct()
+    return vectors.where(usable).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(x * SCALE).cast("long")).alias("ints"))
 
 
 def _matrix(column: pd.Series, width: int, kind) -> np.ndarray:
@@ -57,15 +57,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
 
     Fewer candidates than k give all of them; equal scores go to the smaller vec_id. Components are
     floor(256 x); shorter vectors count as padded with zeros, and null, NaN or infinite components or a null vec_id
-    leave a row out. Equal rows count once; different vectors under one vec_id are all candidates,
-    and as queries each has its own k rows. Empty tables give an empty result; other columns are ignored.
+    leave a row out. A row is no candidate for queries with its own vec_id; otherwise rows that repeat are as many
+    candidates. Equal query rows ask once; different vectors under one vec_id each have k rows of their own. Scores have to fit a
+    long: vectors whose squared length, in components of floor(256 x), passes 2^62 raise a ValueError. Empty tables give an empty result; other columns are ignored.
     """
     rows = checkpoint(quantised(vectors))
     measured = rows.agg(F.count("*"), F.coalesce(F.max(F.aggregate("ints", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(0.0))).first()
     total, bound = measured[0], int(measured[1] * (1 + 1e-9)) + 1  # of every |score|, by Cauchy and Schwarz
     if bound >= 1 << 62:
         raise ValueError("scores do not fit a 64-bit integer")
-    asked = rows.where(queries).withColumn("query", F.xxhash64("vec_id", "ints"))
+    asked = rows.where(queries).distinct().withColumn("query", F.xxhash64("vec_id", "ints"))
     block_rows = min(CANDIDATE_ROWS[1], max(CANDIDATE_ROWS[0], total // 64))
     n_blocks = max(1, -(-total // block_rows))
     candidates = rows.select(_block("vec_id", block_rows, total).alias("b"), F.col("vec_id").alias("other"), F.col("ints").alias("theirs"))

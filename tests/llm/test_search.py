@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from quillon.llm import queries, topk
@@ -8,9 +9,9 @@ SF = "/root/testdata/sf0.01"
 
 def brute(rows, k):
     usable = [(i, [int(np.floor(256 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
-    usable = sorted({(i, tuple(v)) for i, v in usable})
+    usable = sorted((i, tuple(v)) for i, v in usable)
     out = []
-    for q, v in usable:
+    for q, v in sorted(set(usable)):
         if q % 50:
             continue
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q)[:k]
@@ -35,3 +36,13 @@ def test_ties_bad_rows_and_few_candidates(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_k(few, F.col("vec_id") % 50 == 0).collect())) == brute([(0, [0.5, -0.25]), (1, [0.5, -0.25])], 5)
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_sql_equals_the_query_on_repeated_rows(spark):
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (0, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [-3.0, 1.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = sorted(c.execute(queries.OP3_SQL).fetchall())
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())) == want and len(want) == 13
