@@ -12,7 +12,8 @@ repeats, not with the corpus:
    has one stretch only, its first place holds no repeat. Both are done.
 3. length 100, the threshold: the strings of the first places that are left are ranked one by one.
 
-Ranks are names given by hashes (64 bits of the prefix with 64 of the stretch or string that holds it); Spark
+Ranks are names given by hashes (64 bits of the prefix with 64 of the stretch that holds it; 64 bits of a string with 32 of its
+prefix). Strings are dealt out by their own name, so that a prefix that many share is no hot key. Spark
 sorts the (rank, document, offset) rows and finds each name's first place. Within a task a name is sent once, so that
 a passage in a third of all documents does not put a third of all rows under one key.
 """
@@ -31,7 +32,9 @@ LENGTH = 100
 PREFIX = 32
 #: Strings handled at once; longer texts are cut into overlapping chunks.
 CHUNK = 1 << 20
-_SPAN_BITS = 7
+_SPAN_BITS = 31
+#: Of the prefix's name, what a string's name of 64 bits is extended by.
+_PART_OF_NAME = (1 << 32) - 1
 _NO_ID = (1 << 63) - 1
 _SENT, _SENT_NAMES = "h long, c long, doc long, at long, seen boolean", ["h", "c", "doc", "at", "seen"]
 
@@ -48,7 +51,7 @@ class Sampler:
     """Finds in a text the sampled positions and the strings that name them."""
 
     def __init__(self, length: int = LENGTH, prefix: int = PREFIX):
-        assert 0 < prefix <= length and length - prefix < 1 << _SPAN_BITS
+        assert 0 < prefix <= length
         self.length, self.prefix = length, prefix
         self.values, self.base, inverse = _tables()
         self.powers, self.inverses = (self._powers(x, 4096) for x in (self.base, inverse))
@@ -118,15 +121,30 @@ def _first_in_task(columns: list[np.ndarray], ranks: int) -> tuple[np.ndarray, n
     return order, seen & same
 
 
-def _sent(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """The rows that meet others by their two ranks, in the order of place, which packs well."""
+def _sent(columns: list[np.ndarray], dealt_by: int) -> pa.RecordBatch:
+    """The rows that meet others by their two ranks, in the order of place, which packs well; dealt_by: the rank (0 or 1) that deals them out."""
     order, seen = _first_in_task(columns, 2)
     known = np.empty(len(seen), bool)
     known[order] = seen
     h, c, doc, at = columns
-    # A repeat that is known here needs no meeting with others: it is dealt out evenly.
-    h = np.where(known, (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), h)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array(known)], _SENT_NAMES)
+    # Repeats that are known here need no meeting with others: their runs are joined, and dealt out evenly.
+    known_doc, known_at = doc[known], at[known]
+    first = known_at >> _SPAN_BITS
+    last = first + (known_at & ((1 << _SPAN_BITS) - 1))
+    begins = np.ones(len(first), bool)
+    begins[1:] = (known_doc[1:] != known_doc[:-1]) | (first[1:] != last[:-1] + 1)
+    begin = np.flatnonzero(begins)
+    run_doc, run_first, run_last = known_doc[begin], first[begin], last[np.append(begin[1:], len(last))[: len(begin)] - 1]
+    spread = (run_doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ run_first.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    own = (spread, np.zeros(len(begin), np.uint64))
+    sent = [
+        np.concatenate((h[~known], own[dealt_by])).view(np.int64),
+        np.concatenate((c[~known], own[1 - dealt_by])).view(np.int64),
+        np.concatenate((doc[~known], run_doc)),
+        np.concatenate((at[~known], run_first << _SPAN_BITS | (run_last - run_first))),
+        np.repeat([False, True], [len(known) - len(first), len(begin)]),
+    ]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, sent)), _SENT_NAMES)
 
 
 def _stretch_batches(batches):
@@ -139,7 +157,7 @@ def _stretch_batches(batches):
             parts.append((h, c, np.full(len(h), doc, np.int64), first.astype(np.int64) << _SPAN_BITS | (last - first)))
         if not parts:
             continue
-        yield _sent([np.concatenate(x) for x in zip(*parts)])
+        yield _sent([np.concatenate(x) for x in zip(*parts)], 0)
 
 
 def _string_batches(batches):
@@ -153,9 +171,9 @@ def _string_batches(batches):
                 first, more = at >> _SPAN_BITS, at & ((1 << _SPAN_BITS) - 1)
                 strings = range(first, min(first + more, len(view) - LENGTH) + 1)
                 names = np.fromiter((digest(view[p : p + LENGTH]) for p in strings), np.uint64, len(strings))
-                parts.append((np.full(len(names), h, np.int64).view(np.uint64), names, np.full(len(names), doc, np.int64), np.arange(first, first + len(names), dtype=np.int64) << _SPAN_BITS))
+                parts.append((np.full(len(names), h & _PART_OF_NAME, np.uint64), names, np.full(len(names), doc, np.int64), np.arange(first, first + len(names), dtype=np.int64) << _SPAN_BITS))
         if parts:
-            yield _sent([np.concatenate(x) for x in zip(*parts)])
+            yield _sent([np.concatenate(x) for x in zip(*parts)], 1)
 
 
 def removed_spans(n: int, places: list[int] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -194,7 +212,7 @@ def repeated_places(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     ranked = sent.select("h", "doc", "at", (F.col("seen") | later).alias("repeats"), (F.min("c").over(by_prefix) != F.max("c").over(by_prefix)).alias("mixed"))
     ranked = checkpoint(ranked.where("repeats or mixed").select(F.when(~F.col("repeats"), F.col("h")).alias("h"), "doc", "at"))
     left = ranked.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("stretches"))
-    strings = dealt.join(left, "doc").select("doc", "doc_id", "text", "stretches").mapInArrow(_string_batches, _SENT).repartition("h")
+    strings = dealt.join(left, "doc").select("doc", "doc_id", "text", "stretches").mapInArrow(_string_batches, _SENT).repartition("c")
     found = strings.select("doc", "at", (F.col("seen") | later).alias("repeats")).where("repeats").select("doc", "at")
     return ranked.where("h is null").select("doc", "at").union(found)
 
