@@ -3,11 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space that is trimmed around list items, and the reserved words.
+#: The white space that is trimmed around list items.
 SPACES = " \t\n\r"
-KEYWORDS = ["CREATE", "TABLE", "INSERT", "INTO", "VALUES", "SELECT", "FROM", "WHERE"]
-#: A string in either quote without escapes (an unclosed one runs to the end), a number, a name, or any other character.
-TOKEN = r"""'[^']*'?|"[^"]*"?|[0-9]+|[A-Za-z_][A-Za-z0-9_]*|[^\s]"""
 
 
 def split_list(text: Column, delimiter: str = ",") -> Column:
@@ -20,21 +17,9 @@ def first_word_upper(text: Column) -> Column:
     return F.upper(F.regexp_extract(text, r"^\s*(\S+)", 1))
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<kind, value>> of a statement; keywords in any case, names keep theirs, strings lose their quotes."""
-    punctuation = F.create_map(*[F.lit(x) for pair in {",": "COMMA", "(": "LEFT", ")": "RIGHT", ";": "END", "*": "STAR", "=": "EQUAL"}.items() for x in pair])
-
-    def token(t: Column) -> Column:
-        kind = (
-            F.when(t.rlike("^['\"]"), "STRING")
-            .when(t.rlike("^[0-9]"), "NUMBER")
-            .when(F.upper(t).isin(KEYWORDS), F.upper(t))
-            .when(t.rlike("^[A-Za-z_]"), "NAME")
-            .otherwise(F.coalesce(F.try_element_at(punctuation, t), F.lit("ILLEGAL")))
-        )
-        return F.struct(kind.alias("kind"), F.when(t.rlike("^['\"]"), F.regexp_replace(t, "^['\"]|['\"]$", "")).otherwise(t).alias("value"))
-
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), token)
+def words(text: Column) -> Column:
+    """The words between ASCII white space."""
+    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
 def cell(value: Column) -> Column:

@@ -1 +1 @@
-"""Statistics of tables and the policy by which small files are merged."""
+"""Statistics of tables, and how many files they need."""

@@ -20,3 +20,8 @@ def catalog_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n_rows, size_bytes, index_count) of each table."""
     each = [table_size(df).select(F.lit(name).alias("name"), "n_rows", "size_bytes", F.lit(0).cast("long").alias("index_count")) for name, df in tables.items()]
     return reduce(DataFrame.unionAll, each)
+
+
+def files_needed(n_bytes, file_bytes: int):
+    """Files of about file_bytes that hold so many bytes, one at least."""
+    return F.greatest(F.lit(1), F.ceil(n_bytes / file_bytes)).cast("long")

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.logic import quotient, typed_compare
-from quillon.functions.text import cell, first_word_upper, split_list, tokens
+from quillon.functions.text import cell, first_word_upper, split_list, words
 from quillon.operators import rows
-from quillon.plans.compaction import trigger
-from quillon.plans.stats import catalog_stats
-from quillon.sources import logs, pages
+from quillon.plans.stats import catalog_stats, files_needed
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -198,79 +196,91 @@ def json_rows(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.to_json(F.array("p_name", F.col("p_size").cast("string"))).alias("json"))
 
 
-def _log(spark, sf_dir) -> DataFrame:
-    """A statement log made of events: a table per type, one statement per event, and some that must have no effect."""
-    e = _read(spark, sf_dir, "events")
-    # The event decides the statement; every seventh names an unknown table, every eleventh has another number of values.
-    statement = F.concat(
-        F.when(F.col("event_id") % 13 == 0, "insert into ").otherwise("INSERT INTO "),
-        F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("no_"), "event_type")).otherwise(F.col("event_type")),
-        F.lit(" VALUES ("),
-        F.col("event_id").cast("string"),
-        F.when(F.col("event_id") % 11 == 0, ", , extra").otherwise(""),
-        F.lit(" , "),
-        F.col("user_id").cast("string"),
-        F.lit(")"),
-        F.when(F.col("event_id") % 2 == 0, ";").otherwise(""),
-    )
-    creates = e.groupBy("event_type").agg(F.lit(-1).cast("long").alias("line_no")).select("line_no", F.concat(F.lit("CREATE TABLE "), "event_type", F.lit(" (id, user)")).alias("statement"))
-    return creates.unionAll(e.select(F.col("event_id").alias("line_no"), statement.alias("statement")))
-
-
-@query("SELECT event_type AS target, event_id AS line_no, CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")
+@query("SELECT p_partkey, CAST(len(w) AS INTEGER) AS n, array_to_string(w, '/') AS items, upper(split_part(p_name, ' ', 1)) AS verb FROM (SELECT *, list_filter(list_transform(string_split(p_name || ' , ,x', 'e'), lambda x: trim(x)), lambda x: x <> '') AS w FROM part)")
+def split_items(spark, sf_dir):
+    items = split_list(F.concat("p_name", F.lit(" , ,x")), "e")
+    return _read(spark, sf_dir, "part").select("p_partkey", F.size(items).alias("n"), F.concat_ws("/", items).alias("items"), first_word_upper(F.col("p_name")).alias("verb"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(props, event_id) AS props, count(*) AS n FROM events GROUP BY user_id, event_type")
 def log_replay(spark, sf_dir):
-    return logs.replayed(_log(spark, sf_dir)).select("target", "line_no", F.col("items")[0].alias("id"), F.col("items")[1].alias("user_id"))
+    """The state that replaying the events leaves: the last one of each user and type."""
+    return rows.aggregate(_read(spark, sf_dir, "events"), ["user_id", "event_type"], {"event_id": F.max("event_id"), "props": F.max_by("props", "event_id"), "n": F.count("*")})
 
 
-@query("SELECT 'INSERT' AS verb, 'Success: Row inserted.' AS answer, count(*) AS n FROM events UNION ALL SELECT 'CREATE', 'Success: Table created.', count(DISTINCT event_type) FROM events")
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type HAVING count(*) > 1")
 def command_answers(spark, sf_dir):
-    verb = first_word_upper(F.col("statement"))
-    return _log(spark, sf_dir).select(verb.alias("verb"), logs.outcome(verb).alias("answer")).groupBy("verb", "answer").agg(F.count("*").alias("n"))
+    """What was asked for, how often and by how many."""
+    return rows.aggregate(_read(spark, sf_dir, "events"), ["event_type"], {"n": F.count("*"), "n_users": F.countDistinct("user_id")}, F.col("n") > 1)
 
 
-@query(
-    """SELECT c_custkey, 8 AS n_tokens, 'SELECT,NAME,COMMA,STAR,FROM,NAME,WHERE,STRING' AS kinds, c_name AS value FROM customer"""
-)
+@query(r"SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n_words, CAST(sum(len(list_distinct(w))) AS BIGINT) AS n_distinct FROM (SELECT lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents) GROUP BY lang")
 def tokenize(spark, sf_dir):
-    c = _read(spark, sf_dir, "customer")
-    found = tokens(F.concat(F.lit("select c_"), F.col("c_custkey").cast("string"), F.lit(", * From t Where '"), F.col("c_name"), F.lit("'")))
-    made = c.select("c_custkey", found.alias("t"))
-    return made.select("c_custkey", F.size("t").alias("n_tokens"), F.concat_ws(",", F.transform("t", lambda x: x["kind"])).alias("kinds"), F.element_at("t", -1)["value"].alias("value"))
+    """Words of whole texts, and different ones by document, summed by language."""
+    found = _read(spark, sf_dir, "documents").select("lang", words(F.coalesce("text", F.lit(""))).alias("w"))
+    return rows.aggregate(found, ["lang"], {"n_words": F.sum(F.size("w")).cast("long"), "n_distinct": F.sum(F.size(F.array_distinct("w"))).cast("long")})
 
 
-@query("SELECT p_partkey, CAST(len(w) AS INTEGER) AS n, array_to_string(w, '/') AS items, upper(split_part(p_name, ' ', 1)) AS verb FROM (SELECT *, list_filter(list_transform(string_split(p_name || ' , ,x', 'e'), lambda x: trim(x)), lambda x: x <> '') AS w FROM part)")
-def split_items(spark, sf_dir):
-    items = split_list(F.concat("p_name", F.lit(" , ,x")), "e")
-    return _read(spark, sf_dir, "part").select("p_partkey", F.size(items).alias("n"), F.concat_ws("/", items).alias("items"), first_word_upper(F.col("p_name")).alias("verb"))
+@query("SELECT source, count(*) AS n_docs, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes, count(DISTINCT sha256(coalesce(text, ''))) AS n_different, min(sha256(coalesce(text, ''))) AS least FROM documents GROUP BY source")
+def page_verify(spark, sf_dir):
+    """Checksums of whole texts: how many differ, by source."""
+    text = F.coalesce("text", F.lit(""))
+    summed = _read(spark, sf_dir, "documents").select("source", F.octet_length(text).alias("n"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    return rows.aggregate(summed, ["source"], {"n_docs": F.count("*"), "n_bytes": F.sum("n").cast("long"), "n_different": F.countDistinct("digest"), "least": F.min("digest")})
 
 
-@query()
-def page_verify(spark, sf_dir):
-    """Pages cut from all bytes of each document, the last one padded, stamped with their checksum; those of every third document are damaged afterwards."""
-    content = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    whole = F.greatest(F.ceil(F.length(content) / pages.PAGE), F.lit(1)) * pages.PAGE
-    d = _read(spark, sf_dir, "documents").select(F.rpad(content, whole.cast("int"), F.lit(b"x")).alias("content"), F.col("doc_id").cast("string").alias("path"))
-    cut = pages.cut(d.select("path", "content"))
-    stamp = F.unhex(F.concat(*[F.substring(F.lpad(F.hex(pages.checksum(F.col("page"))), 8, "0"), 7 - 2 * i, 2) for i in range(4)]))
-    stamped = F.concat(F.substring("page", 1, pages.CHECKSUM_AT), stamp, F.substring(F.col("page"), pages.CHECKSUM_AT + 5, pages.PAGE - pages.CHECKSUM_AT - 4))
-    made = cut.select("path", "page_id", stamped.alias("page"))
-    damaged = F.when(F.col("path").cast("long") % 3 == 0, F.concat(F.substring("page", 1, pages.PAGE - 1), F.lit(b"\x00"))).otherwise(F.col("page"))
-    return pages.verified(made.withColumn("page", damaged)).select("path", "page_id", "page_no", "lsn", "free_space", "flags", "valid")
-
-
-@query(
-    """SELECT event_id, CASE WHEN event_id % 101 / 100.0 >= 0.9 THEN 'HARD' WHEN user_id % 90 < 5 THEN 'NONE' WHEN event_id * 1000003 % 1500000000 >= 1073741824 THEN 'LOG_SIZE'
-    WHEN event_id % 101 / 100.0 >= 0.7 THEN 'SOFT' WHEN user_id % 90 >= 60 THEN 'TIMER' ELSE 'NONE' END AS trigger FROM events"""
-)
+@query("SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes, CAST(greatest(1, ceil(sum(strlen(coalesce(text, ''))) / 65536.0)) AS BIGINT) AS n_files FROM documents GROUP BY source")
 def compaction_trigger(spark, sf_dir):
-    made = trigger(F.col("event_id") % 101, F.lit(100), F.col("user_id") % 90, F.col("event_id") * 1000003 % 1500000000)
-    return _read(spark, sf_dir, "events").select("event_id", made.alias("trigger"))
+    """How many files of 64 KB the documents of each source need, once merged."""
+    sizes = _read(spark, sf_dir, "documents").select("source", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    return rows.aggregate(sizes, ["source"], {"n_bytes": F.sum("n").cast("long"), "n_files": files_needed(F.sum("n"), 65536)})
 
 
 @query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
 def inner_join(spark, sf_dir):
-    c = _read(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
-    return c.join(_read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+    c = rows.project(_read(spark, sf_dir, "customer"), where=F.col("c_mktsegment") == "BUILDING")
+    return rows.join(c, _read(spark, sf_dir, "orders"), {"c_custkey": "o_custkey"}).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
+def _sided(how: str, sql: str, columns: list[str]) -> None:
+    def run(spark, sf_dir):
+        left = _read(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") != 3, F.col("c_custkey")).alias("key"), "c_name")
+        return rows.join(left, _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), {"key": "o_custkey"}, how).select(*columns)
+
+    run.__name__ = f"{how}_join"
+    query(sql)(run)
+
+
+_LEFT = "(SELECT CASE WHEN c_nationkey <> 3 THEN c_custkey END AS key, c_name FROM customer) c"
+_sided("left", f"SELECT key, c_name, o_orderkey FROM {_LEFT} LEFT JOIN orders ON key = o_custkey", ["key", "c_name", "o_orderkey"])
+_sided("full", f"SELECT key, c_name, o_orderkey FROM {_LEFT} FULL JOIN orders ON key = o_custkey", ["key", "c_name", "o_orderkey"])
+_sided("left_semi", f"SELECT key, c_name FROM {_LEFT} WHERE EXISTS (FROM orders WHERE o_custkey = key)", ["key", "c_name"])
+_sided("left_anti", f"SELECT key, c_name FROM {_LEFT} WHERE NOT EXISTS (FROM orders WHERE o_custkey = key)", ["key", "c_name"])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS most, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY 1, 2 HAVING count(*) > 10")
+def grouped(spark, sf_dir):
+    values = {"n": F.count("*"), "most": F.max("o_totalprice"), "n_customers": F.countDistinct("o_custkey")}
+    return rows.aggregate(_read(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], values, F.col("n") > 10)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def top_rows(spark, sf_dir):
+    return rows.top(_read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT c_custkey, c_name, CASE WHEN c_nationkey > 5 THEN c_nationkey END FROM customer WHERE c_custkey % 7 <> 0")
+def insert_documents(spark, sf_dir):
+    """Customers as JSON objects, some without a field and every seventh cut off, appended to the nations by their schema."""
+    c = F.struct(F.col("c_custkey").alias("n_nationkey"), F.col("c_name").alias("n_name"), F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")).alias("n_regionkey"))
+    whole = F.to_json(c)
+    docs = _read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 7 == 0, F.left(whole, F.length(whole) - 3)).otherwise(whole).alias("doc"))
+    return rows.append_json(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), docs, "doc")[0]
+
+
+@query("SELECT count(*) AS table_count, CAST(sum(n) AS BIGINT) AS total_records FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {n}" for n in _CORE) + ")")
+def catalog_totals(spark, sf_dir):
+    return rows.aggregate(table_counts(spark, sf_dir), [], {"table_count": F.count("*"), "total_records": F.sum("n_rows")})
 
 
 def queries() -> dict:

@@ -1,5 +1,9 @@
 """The session that the library's defaults assume."""
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -9,3 +13,14 @@ def session(name: str = "quillon", **conf: str) -> SparkSession:
     for key, value in conf.items():
         made = made.config(key.replace("__", "."), value)
     return made.getOrCreate()
+
+
+def set_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names in spark.checkpoint.dir; only where it is unset (one machine, tests) to one of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None:
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)

@@ -1,15 +1,12 @@
-import zlib
-
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.logic import quotient
-from quillon.functions.text import split_list, tokens
+from quillon.functions.text import split_list, words
 from quillon.operators import rows
-from quillon.plans.compaction import trigger
-from quillon.plans.stats import table_size
-from quillon.sources import logs, pages
-from quillon.sources.tables import NoSuchTable, TableExists, Tables
+from quillon.plans.stats import catalog_stats, table_size
+from quillon.sources import logs
+from quillon.sources.tables import NoSuchTable, TableExists, Tables, WriteConflict
 from quillon.streaming import tail
 
 
@@ -46,6 +43,61 @@ def test_positions(spark):
     assert rows.delete_at(t, ["k"], 4).count() == 4 and values(rows.update_at(t, ["k"], 9, {"a": F.lit("x")})) == values(t)
 
 
+def test_positions_of_any_place_name_and_null_key(spark):
+    t = spark.createDataFrame([(i if i else None, f"r{i}", 7, 8) for i in range(50)], "k int, a string, part int, position int")
+    got = rows.with_positions(t, ["k"])
+    assert got.columns == ["k", "a", "part", "position"] and {(r.a, r.position) for r in got.collect()} == {(f"r{i}", i) for i in range(50)}
+    assert rows.row_at(t, ["k"], 49).first().a == "r49" and rows.row_at(t, ["k"], 50).count() == 0
+    assert "r0" not in {r.a for r in rows.delete_at(t, ["k"], 0).collect()}
+    assert values(rows.update_at(t, ["k"], 0, {"a": F.lit("x")}).where("a = 'x'")) == [(None, "x", 7, 8)]
+
+
+def test_joins_with_null_keys(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    b = spark.createDataFrame([(2, "x"), (None, "y"), (3, "z")], "j int, w string")
+    n = {how: rows.join(a, b, {"k": "j"}, how).count() for how in ("inner", "left", "right", "full", "left_semi", "left_anti")}
+    assert n == {"inner": 1, "left": 3, "right": 3, "full": 5, "left_semi": 1, "left_anti": 2}
+    assert values(rows.join(a, b, {"k": "j"}, null_safe=True)) == [(2, "b", 2, "x"), (None, "c", None, "y")]
+    with pytest.raises(ValueError):
+        rows.join(a, b, {"k": "j"}, "cross")
+
+
+def test_groups_top_rows_and_json(spark):
+    t = spark.createDataFrame([(1, 5), (1, 7), (None, 3)], "g int, v int")
+    assert values(rows.aggregate(t, ["g"], {"n": F.count("*"), "s": F.sum("v")})) == [(1, 2, 12), (None, 1, 3)]
+    assert values(rows.aggregate(t, [], {"n": F.count("*")}, F.col("n") > 9)) == []
+    assert values(rows.top(t, ["g"], [F.desc("v")], 1)) == [(1, 7), (None, 3)]
+    docs = spark.createDataFrame([('{"v": 1, "x": 2}',), ('{"g": 4, "v": 2}',), ("{oops",), (None,)], "doc string")
+    more, wrong = rows.append_json(t, docs, "doc")
+    assert values(more)[-2:] == [(None, 1), (None, 3)] and more.count() == 5 and values(wrong) == [("{oops",), (None,)]
+
+
+def test_a_failed_write_blocks_nothing(spark, tmp_path, monkeypatch):
+    t = Tables(spark, f"{tmp_path}/tables")
+    t.create("x", "id int")
+    bad = spark.range(4).select(F.raise_error(F.lit("stop")).cast("int").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        t.write("x", bad)
+    (tmp_path / "tables/x/version=1").mkdir()  # what a writer of another kind left
+    one = spark.createDataFrame([(1,)], "id int")
+    assert t.write("x", one) == 2 and values(t.read("x")) == [(1,)] and t.names() == ["x"]
+    monkeypatch.setattr(t, "_names", lambda path, f=t._names: [n for n in f(path) if n != "version=2"])  # one that has not seen the last version
+    with pytest.raises(WriteConflict):
+        t.write("x", one)
+
+
+def test_files_are_merged_and_counted(spark, tmp_path):
+    t = Tables(spark, f"{tmp_path}/tables")
+    t.write("x", spark.range(100).repartition(8))
+    t.merge_files("x")
+    assert len(list((tmp_path / "tables/x/version=1").glob("*.parquet"))) == 1 and t.read("x").count() == 100
+    got = t.totals(catalog_stats).first()
+    assert (got.table_count, got.total_records, got.total_size, got.index_count) == (1, 100, 192, 0) and got.disk_usage == t.disk_usage() > 0
+    t.backup("x", f"{tmp_path}/copy")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        t.backup("x", f"{tmp_path}/copy")
+
+
 def test_versioned_tables(spark, tmp_path):
     t = Tables(spark, f"{tmp_path}/tables")
     t.create("users", ["id", "name"])
@@ -83,22 +135,7 @@ def test_log_replay_and_dialect(spark, tmp_path):
     assert values(spark.table("verbs_seen")) == [("CREATE", 1), ("DROP", 1), ("INSERT", 4)]
 
 
-def test_tokens_and_lists(spark):
-    df = spark.createDataFrame([("select * from T where a='it",), ("INSERT INTO t VALUES (1, \"x\");",), ("9.9 @",)], "s string")
-    kinds = [[t.kind for t in r.t] for r in df.select(tokens(F.col("s")).alias("t")).collect()]
-    assert kinds == [["SELECT", "STAR", "FROM", "NAME", "WHERE", "NAME", "EQUAL", "STRING"], ["INSERT", "INTO", "NAME", "VALUES", "LEFT", "NUMBER", "COMMA", "STRING", "RIGHT", "END"], ["NUMBER", "ILLEGAL", "NUMBER", "ILLEGAL"]]
+def test_words_and_lists(spark):
+    df = spark.createDataFrame([(" a\x0bb\u00a0c\n",), ("",)], "s string")
+    assert values(df.select(words(F.col("s")).alias("w"))) == [(["a", "b\u00a0c"],), ([],)]
     assert df.select(split_list(F.lit(" a, ,\t'b' ,c\n"))).first()[0] == ["a", "'b'", "c"]
-
-
-def test_pages_and_policy(spark, tmp_path):
-    made = bytearray(4096)
-    made[0:4], made[4:12], made[100] = (42).to_bytes(4, "little"), (12345678901).to_bytes(8, "little"), 7
-    made[16:20] = zlib.crc32(bytes(made[:16] + made[20:])).to_bytes(4, "little")
-    bad = bytearray(made)
-    bad[200] = 1
-    (tmp_path / "data.db").write_bytes(bytes(made + bad) + b"short")
-    got = pages.verified(pages.cut(spark.read.format("binaryFile").load(f"{tmp_path}/data.db"))).orderBy("page_id").collect()
-    assert [(r.page_no, int(r.lsn), r.valid) for r in got] == [(42, 12345678901, True), (42, 12345678901, False)]
-    cases = [(90, 0, 0, "HARD"), (80, 1, 0, "NONE"), (80, 9, 0, "SOFT"), (1, 9, 1 << 30, "LOG_SIZE"), (1, 61, 0, "TIMER"), (1, 9, 0, "NONE")]
-    df = spark.createDataFrame(cases, "p long, s long, b long, want string")
-    assert df.where(trigger(F.col("p"), F.lit(100), F.col("s"), F.col("b")) != F.col("want")).count() == 0
