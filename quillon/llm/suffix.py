@@ -1,19 +1,19 @@
-"""Exact repeated passages by a content-defined sample whose strings are ranked by hashes at growing lengths.
+"""Exact repeated passages by prefix doubling over a content-defined sample of positions.
 
 Plain doubling ranks every byte position at lengths 1, 2, 4, ... and sorts all (position, rank) pairs
-each time, which writes many times the corpus. Here the positions that are sorted grow with what
+each time, which writes many times the corpus. Here the positions that are ranked grow with what
 repeats, not with the corpus:
 
 1. length 32: every 100-byte string names the leftmost smallest hash among its 32-byte substrings.
    Equal strings name the same offset, so that only these sampled positions (one in 35 bytes or so)
-   are sorted by the rank of their 32-byte prefix; a position whose rank is unique is done.
-2. length up to 168: the position is ranked again by the whole stretch of bytes whose 100-byte strings name
-   it. Where that rank was seen in an earlier place, all of these strings repeat; where the 32-byte rank
-   has one stretch only, its first place holds no repeat. Both are done.
-3. length 100, the threshold: the strings of the first places that are left are ranked one by one.
-
-Ranks are names given by hashes (64 bits of the prefix with 64 of the stretch that holds it; 64 bits of a string with 32 of its
-prefix). Strings are dealt out by their own name, so that a prefix that many share is no hot key. Spark
+   are sorted by the rank of their 32-byte prefix; a position whose rank is unique is done. So is one whose whole stretch of
+   bytes (the up to 168 that its strings reach over) was seen in an earlier place, where all of its strings repeat.
+2. length 66: a position that is left is ranked by pairs of ranks at offset 34, one that ends at it and one
+   that starts there. Each of its strings holds one of the two. The strings of a pair that is unique are done.
+3. length 100, the threshold: the strings that are left are ranked one by one.
+
+Ranks are names given by hashes (64 bits of the prefix with 64 of the stretch that holds it, or of the other rank of a pair; 64 bits of
+a string with 32 of its prefix). Strings are dealt out by their own name, so that a prefix that many share is no hot key. Spark
 sorts the (rank, document, offset) rows and finds each name's first place. Within a task a name is sent once, so that
 a passage in a third of all documents does not put a third of all rows under one key.
 """
@@ -30,6 +30,8 @@ from quillon.llm.common import checkpoint, slices, utf8
 
 LENGTH = 100
 PREFIX = 32
+#: Between the ranks of a pair: strings hold the 66 bytes that end, or those that start, with a sampled prefix.
+OFFSET = (LENGTH - PREFIX) // 2
 #: Strings handled at once; longer texts are cut into overlapping chunks.
 CHUNK = 1 << 20
 _SPAN_BITS = 31
@@ -103,6 +105,21 @@ class Sampler:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+    def pairs(self, octets: np.ndarray, first: int, last: int) -> list[tuple[int, int, int, int]]:
+        """(prefix rank, other rank, first string, last string) of the pairs that a stretch's strings hold."""
+        start = max(0, last - OFFSET)
+        hashes = self._prefix_hashes(octets[start : first + self.length + OFFSET])
+        # The sampled position is in all strings, and so among these.
+        low = np.uint64((1 << 21) - 1)
+        place = last - start + int(np.argmin((hashes[last - start : first + self.length - self.prefix + 1 - start] | low)))
+        rank, split, out = int(hashes[place]), start + place - OFFSET, []
+        if first <= split:
+            out.append((rank, int(hashes[place - OFFSET]), first, min(last, split)))
+        if last > split:
+            out.append((rank, ~int(hashes[place + OFFSET]) & _mask, max(first, split + 1), last))
+        return out
+
+
 def _first_in_task(columns: list[np.ndarray], ranks: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by ranks, then place; and whether an earlier place in the batch has the same ranks.
 
@@ -160,6 +177,31 @@ def _stretch_batches(batches):
         yield _sent([np.concatenate(x) for x in zip(*parts)], 0)
 
 
+def _pair_batches(batches):
+    """Pairs of ranks; one that the batch holds more than once is known to be shared, and sent once under its own name."""
+    sampler = Sampler()
+    for batch in slices(batches, 1024):
+        docs, texts, stretches = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
+        rows = []
+        for i, doc in enumerate(docs):
+            octets = np.frombuffer(texts[i].as_py(), np.uint8)
+            for at in sorted({x["at"] for x in stretches[i].as_py()}):
+                first = at >> _SPAN_BITS
+                found = sampler.pairs(octets, first, first + (at & ((1 << _SPAN_BITS) - 1)))
+                rows += [(rank, other, doc, a << _SPAN_BITS | (b - a)) for rank, other, a, b in found]
+        if not rows:
+            continue
+        h, c = (np.array([r[k] for r in rows], np.uint64) for k in (0, 1))
+        doc, at = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+        order = np.lexsort((at, doc, c, h))
+        h, c, doc, at = (x[order] for x in (h, c, doc, at))
+        same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        known, shared = np.append(False, same), np.append(False, same) | np.append(same, False)
+        spread = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        sent = [h.view(np.int64), np.where(known, spread, c).view(np.int64), doc, at, shared]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, sent)), _SENT_NAMES)
+
+
 def _string_batches(batches):
     digest = xxhash.xxh3_64_intdigest
     for batch in slices(batches, 1024):
@@ -211,8 +253,10 @@ def repeated_places(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     later = F.col("doc") > F.min("doc").over(by_rank)
     ranked = sent.select("h", "doc", "at", (F.col("seen") | later).alias("repeats"), (F.min("c").over(by_prefix) != F.max("c").over(by_prefix)).alias("mixed"))
     ranked = checkpoint(ranked.where("repeats or mixed").select(F.when(~F.col("repeats"), F.col("h")).alias("h"), "doc", "at"))
-    left = ranked.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("stretches"))
-    strings = dealt.join(left, "doc").select("doc", "doc_id", "text", "stretches").mapInArrow(_string_batches, _SENT).repartition("c")
+    with_text = lambda places: dealt.join(places.groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("stretches")), "doc").select("doc", "doc_id", "text", "stretches")
+    pairs = with_text(ranked.where("h is not null")).mapInArrow(_pair_batches, _SENT).repartition("h", "c")
+    shared = pairs.select("h", "doc", "at", (F.col("seen") | (F.count("*").over(by_rank) > 1)).alias("shared")).where("shared")
+    strings = with_text(shared).mapInArrow(_string_batches, _SENT).repartition("c")
     found = strings.select("doc", "at", (F.col("seen") | later).alias("repeats")).where("repeats").select("doc", "at")
     return ranked.where("h is null").select("doc", "at").union(found)
 
@@ -244,7 +288,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("doc_id").cast("long"), utf8().alias("text"))
     keyed = _numbered(keyed)
-    dealt = keyed.repartition("doc")  # both joins with the texts read this one exchange
+    dealt = keyed.repartition("doc")  # all joins with the texts read this one exchange
     places = repeated_places(keyed, dealt).groupBy("doc").agg(F.collect_list("at").alias("places"))
     joined = dealt.join(places, "doc", "left").select("doc", "doc_id", "text", "places")
     return joined.mapInArrow(_cut_batches, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
