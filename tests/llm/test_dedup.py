@@ -152,3 +152,20 @@ def test_chunks_do_not_change_the_result(monkeypatch):
 def test_stretches_cover_all_strings_in_order(data):
     _, _, first, last = suffix.Sampler().stretches(data)
     assert [p for a, b in zip(first, last) for p in range(a, b + 1)] == list(range(max(0, len(data) - 99)))
+
+
+def test_pairs_of_ranks_cover_each_string_once():
+    import numpy as np
+
+    sampler = suffix.Sampler()
+    octets = np.random.default_rng(5).integers(97, 101, 3000).astype(np.uint8)
+    ranks = sampler._prefix_hashes(octets)
+    seen = []
+    for h, _, first, last in zip(*sampler.stretches(octets.tobytes())):
+        for rank, other, a, b in sampler.pairs(octets, int(first), int(last)):
+            assert rank == int(h)
+            seen += range(a, b + 1)
+            # The pair's 66 bytes lie within each of its strings.
+            places = [p for p in np.flatnonzero(ranks == h).tolist() if (p >= suffix.OFFSET and ranks[p - suffix.OFFSET] == other and p - suffix.OFFSET >= b and p + suffix.PREFIX <= a + suffix.LENGTH) or (p + suffix.OFFSET < len(ranks) and int(ranks[p + suffix.OFFSET]) ^ ((1 << 64) - 1) == other and p >= b and p + suffix.OFFSET + suffix.PREFIX <= a + suffix.LENGTH)]
+            assert places
+    assert seen == list(range(len(octets) - suffix.LENGTH + 1))
