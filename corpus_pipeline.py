@@ -23,15 +23,26 @@ WEIGHTS, BUDGET = {"good": 0.97, "low": 0.01, "toxic": 0.02}, 1.1
 MAY_BE_GOOD = 0.05
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, `given`, so that no column that an operator adds or uses meets a given one."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("given"))
+
+
+def _unpacked(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, from rows that came from _packed."""
+    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col("given")[c].alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rules or the trees reject."""
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, trees).where("kept").select(docs.columns)
+    return _unpacked(quality.judge(_packed(docs), trees).where("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that nearly repeat an earlier one, and exact copies at any length; documents keep their rows, and n_chars follows the text."""
-    done = lines.dedup_lines(docs, short_copies=True)
+    done = _unpacked(lines.dedup_lines(_packed(docs), short_copies=True), docs)
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
@@ -43,11 +54,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents as the fitted rates say; one that is labelled 'good', or may be good, stays at least once."""
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labelled, WEIGHTS, BUDGET)
-    labels = labelled.where(F.col("domain").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col("domain") == "good").alias("__good"))
-    known = mixed.join(labels, F.col("doc_id") == F.col("__doc"), "left")
-    good = F.coalesce("__good", F.col("posteriors")["good"] >= MAY_BE_GOOD, F.lit(False)) | (F.col("domain") == "good")
-    return mixing.copies(known.withColumn("rate", F.when(good, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate")))).select(docs.columns)
+    mixed = mixing.mix(_packed(docs), labelled, WEIGHTS, BUDGET)
+    labels = labelled.where(F.col("domain").isNotNull()).groupBy(F.col("doc_id").alias("labelled_doc")).agg(F.max(F.col("domain") == "good").alias("labelled_good"))
+    known = mixed.join(labels, F.col("doc_id") == F.col("labelled_doc"), "left")
+    good = F.coalesce("labelled_good", F.col("posteriors")["good"] >= MAY_BE_GOOD, F.lit(False)) | (F.col("domain") == "good")
+    return _unpacked(mixing.copies(known.withColumn("rate", F.when(good, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate")))), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
