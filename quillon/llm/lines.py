@@ -10,7 +10,9 @@ only their exact copies can go (`short_copies`). Similarity is the Jaccard index
   with 0.977, lines at 0.85 with 0.998;
 * banding: lines meet on a band's hash. A bucket's lines are paired with one of them, its hub, the same in all bands that
   a group shares; then, where lines of a bucket are not tied to each other, with FURTHER_HUBS more that are drawn for each
-  band. Pairs grow with the lines, and never with the square of a bucket;
+  band. What these leave untied is settled without loss: in a bucket of up to ALL_PAIRS lines every untied pair is looked at, in a
+  larger one every untied pair that shares one of its rarest shingles, which lines at SIMILARITY cannot fail to do (prefix
+  filter). So two similar lines of a bucket always end up in one component;
 * verification: the exact Jaccard index of each pair's full shingle sets;
 * distributed union-find over the verified pairs. Of each component the first line stays (smallest
   doc_id, then line number), all others go.
@@ -20,10 +22,10 @@ Bands name a line by a hash of 64 bits; what is linked and removed is named by 1
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint, fresh
+from quillon.llm.common import checkpoint, fresh, release
 from quillon.llm.components import components
 
 MIN_CHARS = 24
@@ -33,8 +35,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 7
 #: Hubs that are drawn for a bucket whose lines the first one does not tie.
 FURTHER_HUBS = 3
-#: Of a band's part, about so many hashes are looked at; that fewer than BAND_ROWS are among them has a chance of 1 in 250.
-LOOKED_AT = 16
+#: A bucket with more untied lines is settled by shared rare shingles in place of all its pairs; both ways are exact.
+ALL_PAIRS = 32
 
 
 def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -46,21 +48,15 @@ def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def shingle_hashes(line: Column) -> Column:
     """The hash of each window of SHINGLE characters; of the whole line, where it is shorter. Read from a fixed-width form, where a window is found at once."""
-    bound = F.array(F.struct(F.encode(line, "UTF-16BE").alias("u")))
     width = 2 * SHINGLE
     windows = lambda u: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(u) - width + 1), F.lit(2)), lambda i: F.xxhash64(F.substring(u, i, F.lit(width))))
-    return F.transform(bound, lambda b: windows(b["u"]))[0]
+    return F.transform(F.array(F.encode(line, "UTF-16BE")), windows)[0]
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """(id, band) for each line and band; copies of a line repeat its rows."""
-    part = (1 << 64) // BANDS
-    starts = [-(1 << 63) + part * k for k in range(BANDS)]
-    found = F.array(F.struct(shingle_hashes(F.col("line")).alias("h")))
-    share = lambda h: F.least(F.lit(1.0), F.lit(float(BANDS * LOOKED_AT)) / F.size(h))
-    reach = F.transform(found, lambda b: F.struct(b["h"].alias("h"), (share(b["h"]) * float(part - 1)).cast("long").alias("upto")))
-    near = F.transform(reach, lambda b: F.sort_array(F.array_distinct(F.filter(b["h"], lambda x: x.bitwiseAND(F.lit(part - 1)) <= b["upto"]))))[0]
-    made = lines.select("id", near.alias("h"))
+    """(id, band) for each line and band; copies of a line repeat its rows. Sets and orders stay outside of lambdas, where Spark compiles them."""
+    starts = [-(1 << 63) + ((1 << 64) // BANDS) * k for k in range(BANDS)]
+    made = lines.select("id", F.sort_array(F.array_distinct(shingle_hashes(F.col("line")))).alias("h"))
     # A start's place among the sorted hashes and starts, less the starts before it, is that of the first hash from there on.
     made = made.select("id", F.concat("h", F.slice("h", 1, BAND_ROWS)).alias("ring"), F.sort_array(F.concat("h", F.array(*[F.lit(s) for s in starts]))).alias("marked"))
     keys = [F.xxhash64(F.slice("ring", (F.array_position("marked", s) - k).cast("int"), BAND_ROWS), F.lit(k)) for k, s in enumerate(starts)]
@@ -74,42 +70,114 @@ def buckets(lines: DataFrame) -> DataFrame:
     return dealt.join(hubs, "band").select("band", "id", "hub", "n").distinct()
 
 
-def jaccard(x: Column, y: Column) -> Column:
-    """Of the sets of two arrays, which are computed once each."""
-    sets = F.array(F.struct(F.array_distinct(x).alias("x"), F.array_distinct(y).alias("y")))
-    common = F.transform(sets, lambda s: F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("both")))
-    return F.transform(common, lambda n: n["both"] / (n["x"] + n["y"] - n["both"]))[0]
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of full ids whose similarity is SIMILARITY or more."""
     full = F.struct("id", "more")
     x, y = texts.select(F.col("id").alias("a"), full.alias("full_a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), full.alias("full_b"), F.col("line").alias("y"))
-    alike = pairs.join(x, "a").join(y, "b").where(jaccard(shingle_hashes(F.col("x")), shingle_hashes(F.col("y"))) >= SIMILARITY)
-    return alike.select(F.col("full_a").alias("a"), F.col("full_b").alias("b"))
+    sets = pairs.join(x, "a").join(y, "b").select("full_a", "full_b", F.array_distinct(shingle_hashes(F.col("x"))).alias("x"), F.array_distinct(shingle_hashes(F.col("y"))).alias("y"))
+    sizes = sets.select("full_a", "full_b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
+    # Through explode, as a filter would be moved below the sets and compute them once more.
+    alike = sizes.select("full_a", "full_b", F.explode(F.array(F.col("both") / (F.col("x") + F.col("y") - F.col("both")))).alias("jaccard"))
+    return alike.where(F.col("jaccard") >= SIMILARITY).select(F.col("full_a").alias("a"), F.col("full_b").alias("b"))
 
 
-def similar(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of full ids of similar lines that tie together the similar lines of each bucket, as far as its hubs show."""
-    pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+def _pairs(df: DataFrame) -> DataFrame:
+    """The different pairs (a, b) of id and other, the smaller first."""
+    return df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _placed(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, id, root, lines) of the buckets whose lines, the hub aside, are of more than one class; `lines` counts them."""
+    roots = classes.select(F.col("node.id").alias("id"), F.col("root.id").alias("root"))
+    placed = checkpoint(met.where("n > 2 AND id <> hub").select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("lines")).where("low < high").select("band", "lines")
+    return placed.join(mixed, "band").select("band", "id", "root", "lines")
+
+
+def _drawn(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each line with the hubs that are drawn for its bucket, but for those it is tied to."""
+    orders = [F.xxhash64("id", "band", F.lit(k)) for k in range(FURTHER_HUBS)]
+    drawn = placed.groupBy("band").agg(*[F.min_by(F.struct(F.col("id").alias("other"), F.col("root").alias("other_root")), o).alias(f"hub{k}") for k, o in enumerate(orders)])
+    hubs = drawn.select("band", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(FURTHER_HUBS)]))).alias("hub"))
+    return _pairs(placed.join(hubs, "band").select("id", "root", "hub.*").where("root <> other_root"))
+
+
+def _all_untied(placed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of lines of one bucket that are of different classes."""
+    other = placed.select("band", F.col("id").alias("other"), F.col("root").alias("other_root"))
+    return _pairs(placed.join(other, "band").where("id < other AND root <> other_root"))
+
+
+def _parities(h: Column) -> list[Column]:
+    """Of a set of hashes, how many fall on each of 512 places, as even or odd, in longs. Two sets differ in at least as many hashes as places."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda k: F.filter(h, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(7)) == k)
+    return [F.aggregate(of(k), F.lit(0).cast("long"), lambda done, x: done.bitwiseXOR(one(x))) for k in range(8)]
+
+
+def _rare_untied(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of different classes, among them all at SIMILARITY, or 4/5, or more.
+
+    Two sets of n <= m shingles at 4/5 share 4/9 of n + m of them: at least 8/9 of n, and 4/5 of m. In any one order they so share one of
+    the first n/9 + 1 of the smaller and m/5 + 1 of the larger, rounded down. The order is from rare to frequent, so that what many lines hold is not met
+    on. The largest class of a shingle is not paired with itself. As such sets differ in (n + m) / 9 shingles at most, pairs whose parities tell more
+    apart are left out, which loses none.
+    """
+    sets = placed.select("id", "root").distinct().join(texts, "id").select("id", "root", F.array_distinct(shingle_hashes(F.col("line"))).alias("h"))
+    shingles = sets.select("id", "root", F.size("h").alias("n"), F.explode("h").alias("h"))
+    held = shingles.groupBy("h", "root").agg(F.count("*").alias("held")).groupBy("h").agg(F.sum("held").alias("times"), F.max_by("root", "held").alias("most"), F.count("*").alias("classes"))
+    order = Window.partitionBy("id").orderBy("times", "h")
+    first = shingles.join(held, "h").withColumn("place", F.row_number().over(order)).where("place <= floor(n / 5) + 1 AND classes > 1")
+    first = checkpoint(first.join(sets.select("id", F.array(*_parities(F.col("h"))).alias("odd")), "id").select("h", "id", "root", "n", "odd", "place", (F.col("root") == F.col("most")).alias("most")))
+    larger = first.select("h", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("odd").alias("other_odd"), F.col("most").alias("other_most"))
+    smaller = first.where("place <= floor(n / 9) + 1")
+    apart = smaller.where("NOT most").join(larger, "h"), smaller.where("most").join(larger.where("NOT other_most"), "h")
+    differ = sum(F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other_odd", F.lit(k)))) for k in range(8))
+    apart = [x.where("root <> other_root AND n <= m AND 4 * m <= 5 * n").where(9 * differ <= F.col("n") + F.col("m")) for x in apart]
+    return _pairs(apart[0].union(apart[1]))
+
+
+def _linked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Verified pairs (a, b) of full ids from hubs; the classes (node, root) that these make; verified pairs of what they leave untied in a bucket."""
     met = checkpoint(buckets(lines))
+    release(lines)
     texts = checkpoint(lines.select("id", "more", "line").join(met.select("id").distinct(), "id").dropDuplicates(["id", "more"]))
-    found = checkpoint(_verified(met.where("id <> hub").withColumnRenamed("hub", "other").select(*pair).distinct(), texts))
-    roots = components(found.select("a.id", F.col("b.id").alias("other")), "id", "other").select(F.col("node").alias("id"), "root")
-    placed = checkpoint(met.where("n > 2").select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
-    orders = [F.xxhash64("id", "band", F.lit(k)) for k in range(FURTHER_HUBS)]
-    drawn = [x for k, o in enumerate(orders) for x in (F.min_by("id", o).alias(f"hub{k}"), F.min_by("root", o).alias(f"root{k}"))]
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low < high")
-    each = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"hub{k}").alias("other"), F.col(f"root{k}").alias("other_root")) for k in range(FURTHER_HUBS)])))
-    left = placed.join(mixed.select("band", each.alias("hub")), "band").select("id", "root", "hub.*").where("root <> other_root").select(*pair).distinct()
-    return found.union(_verified(left, texts))
+    release(lines)
+    found = checkpoint(_verified(_pairs(met.where("id <> hub").withColumnRenamed("hub", "other")), texts))
+    classes = components(found, "a", "b")
+    release(lines)
+    further = checkpoint(_verified(_drawn(_placed(met, classes)), texts))
+    if further.first() is not None:
+        classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(further), "a", "b")
+    release(lines)
+    placed = checkpoint(_placed(met, classes))
+    small, large = placed.where(F.col("lines") <= ALL_PAIRS), placed.where(F.col("lines") > ALL_PAIRS)
+    left = _all_untied(small)
+    if large.first() is not None:
+        left = left.union(_rare_untied(large, texts)).distinct()
+    return [found, further], classes, checkpoint(_verified(left, texts))
+
+
+def similar(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of full ids of similar lines that tie together all similar lines of each bucket."""
+    (found, further), _, rest = _linked(lines)
+    return found.union(further).union(rest)
+
+
+def similar_classes(lines: DataFrame) -> DataFrame:
+    """(node, root) of the components of similar(lines), by full id."""
+    _, classes, rest = _linked(lines)
+    release(lines)
+    if rest.first() is None:
+        return classes
+    return components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest), "a", "b")
 
 
 def removed_lines(docs: DataFrame, short_copies: bool = False) -> DataFrame:
     """(doc_id, line_no) of the lines that go; with `short_copies` also exact copies of lines under MIN_CHARS that are not blank."""
     given = docs.select(F.col("doc_id").cast("long"), "text")
     lines, placed = split_lines(given), split_lines(given, 1 if short_copies else MIN_CHARS)
-    rooted = components(similar(lines), "a", "b").select("node.id", "node.more", "root")
+    rooted = similar_classes(lines).select("node.id", "node.more", "root")
     places = placed.select("doc_id", "line_no", "id", "more").join(rooted, ["id", "more"], "left").select("doc_id", "line_no", F.coalesce("root", F.struct("id", "more")).alias("root"))
     first = places.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return places.join(first, "root").where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")

@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import lines, queries
-from test_lines_chat import SF, brute_pairs, brute_removed, words
+from test_lines_chat import SF, brute_pairs, brute_removed, norm, words
 
 
 def removed(spark, rows):
@@ -35,6 +36,48 @@ def test_hub_that_is_like_no_line_hides_no_link(spark, monkeypatch):
     assert {frozenset((tuple(r.a), tuple(r.b))) for r in lines.similar(made).collect()} == {frozenset((ids[0], ids[1])), frozenset((ids[2], ids[3]))}
 
 
+@pytest.mark.parametrize("most", [1000, 4], ids=["all pairs", "rare shingles"])
+def test_buckets_of_unlike_lines_lose_no_link(spark, monkeypatch, most):
+    """One bucket of 120 unlike lines and 12 pairs of similar ones, half of them with a passage that all share; no hub shows but a few of the pairs."""
+    rng, rows = random.Random(17), []
+    shared = words(rng, 12)
+    rows += [f"{shared if i % 2 else ''} {words(rng, 14)}" for i in range(120)]
+    for i in range(12):
+        own = words(rng, 16)
+        rows += [f"{shared if i % 2 else ''} {own}", f"{shared if i % 2 else ''} {own} {words(rng, 1)}"]
+    rows = list(enumerate(rows))
+    made = lines.split_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = sorted(r.id for r in made.collect())
+    one = spark.createDataFrame([(7, i, ids[0], len(ids)) for i in ids], "band long, id long, hub long, n long")
+    monkeypatch.setattr(lines, "buckets", lambda _: one)
+    monkeypatch.setattr(lines, "ALL_PAIRS", most, raising=False)
+    pairs = brute_pairs([t for _, t in rows])
+    text = {(r.id, r.more): r.line for r in made.collect()}
+    got = {tuple(sorted((text[tuple(r.a)], text[tuple(r.b)]))) for r in lines.similar(made).collect()}
+    assert len(pairs) == 12 and got == pairs
+    want = brute_removed(rows, pairs)
+    assert len(want) == 12 and removed(spark, rows) == want
+
+
+def test_rare_shingles_find_every_pair_of_unequal_length(spark):
+    """Of lines of all lengths around a common passage: the pairs at 0.8 or more, all of them, with classes that hold several lines."""
+    rng = random.Random(19)
+    shared = words(rng, 20)
+    texts = []
+    for _ in range(40):
+        own = words(rng, 6)
+        texts += [f"{shared} {own}"[: rng.randint(60, 200)], f"{own} {shared} {own}", f"{own} {shared[rng.randint(0, 40):]}"]
+    texts = sorted({norm(x) for x in texts})
+    of = {x: k for k, x in enumerate(texts)}
+    rows = [(7, k, k if k % 3 else 0, len(texts)) for x, k in of.items()]
+    placed = spark.createDataFrame(rows, "band long, id long, root long, lines long")
+    lined = spark.createDataFrame([(k, 0, x) for x, k in of.items()], "id long, more long, line string")
+    root = {r[1]: r[2] for r in rows}
+    got = {(r.a.id, r.b.id) for r in lines._verified(lines._rare_untied(placed, lined), lined).collect()}
+    want = {tuple(sorted((of[a], of[b]))) for a, b in brute_pairs(texts) if root[of[a]] != root[of[b]]}
+    assert len(want) > 100 and got == want
+
+
 def test_query_gives_the_kept_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: r.s for r in lines.dedup_lines(docs, short_copies=True).selectExpr("doc_id", "sha2(cast(text as binary), 256) AS s").collect()}
