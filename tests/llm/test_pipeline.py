@@ -1,7 +1,12 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from quillon.llm import lines
+from test_lines_chat import brute_pairs, brute_removed, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +48,19 @@ def test_registered():
 def test_stages_take_empty_tables(spark, k):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[k][1](spark, docs, SF).count() == 0
+
+
+def test_line_dedup_loses_no_link_of_a_bucket(spark, monkeypatch):
+    """Ten pairs of similar lines among 60 unlike ones, all in one bucket."""
+    rng = random.Random(23)
+    texts = [words(rng, 12) for _ in range(60)]
+    for _ in range(10):
+        own = words(rng, 16)
+        texts += [own, f"{own} {words(rng, 1)}"]
+    rows = [(k, x, "s", "en", len(x)) for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    every = lambda made: made.select("id").distinct().crossJoin(made.agg(F.min("id").alias("hub"), F.count("*").alias("n"))).select(F.lit(7).cast("long").alias("band"), "id", "hub", "n")
+    monkeypatch.setattr(lines, "buckets", every)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    gone = {doc for doc, _ in brute_removed(list(enumerate(texts)), brute_pairs(texts))}
+    assert len(gone) == 10 and got == {k: "" if k in gone else x for k, x in enumerate(texts)}
