@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
+from quillon.llm.common import checkpoint, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,3 +44,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(now)
         state = checkpoint(_small_star(_large_star(state)))
+        release(state)  # else the shuffles of all rounds stay on disk

@@ -22,7 +22,7 @@ Bands name a line by a hash of 64 bits; what is linked and removed is named by 1
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.llm.common import checkpoint, fresh, release
@@ -37,6 +37,8 @@ BANDS, BAND_ROWS = 16, 7
 FURTHER_HUBS = 3
 #: A bucket with more untied lines is settled by shared rare shingles in place of all its pairs; both ways are exact.
 ALL_PAIRS = 32
+#: Places that a line's shingles fall on, of which the parities are compared, and earlier shingles that tell whether a pair was found at one of them.
+PLACES, BEFORE = 1024, 3
 
 
 def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -108,11 +110,24 @@ def _all_untied(placed: DataFrame) -> DataFrame:
     return _pairs(placed.join(other, "band").where("id < other AND root <> other_root"))
 
 
-def _parities(h: Column) -> list[Column]:
-    """Of a set of hashes, how many fall on each of 512 places, as even or odd, in longs. Two sets differ in at least as many hashes as places."""
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    of = lambda k: F.filter(h, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(7)) == k)
-    return [F.aggregate(of(k), F.lit(0).cast("long"), lambda done, x: done.bitwiseXOR(one(x))) for k in range(8)]
+def _parities(h: Column, order: WindowSpec) -> Column:
+    """Of a line's set of hashes, one a row, how many fall on each of PLACES places, as even or odd, in longs. Two sets differ in at least as many hashes as places."""
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright(h, 6).bitwiseAND(F.lit(PLACES // 64 - 1))
+    return F.array(*[F.bit_xor(F.when(word == k, one).otherwise(F.lit(0).cast("long"))).over(whole) for k in range(PLACES // 64)])
+
+
+def _rare_shingles(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, h, root, n, odd, place, most, before0, ...) of each line's rarest shingles that lines of other classes hold as well, with those before them."""
+    lines = placed.select("id", "root").distinct().join(texts, "id").select("id", "root", F.array_distinct(shingle_hashes(F.col("line"))).alias("h"))
+    shingles = lines.select("id", "root", F.size("h").alias("n"), F.explode("h").alias("h"))
+    held = shingles.groupBy("h", "root").agg(F.count("*").alias("held")).groupBy("h").agg(F.sum("held").alias("times"), F.max_by("root", "held").alias("most"), F.count("*").alias("classes"))
+    order = Window.partitionBy("id").orderBy("times", "h")
+    first = shingles.join(held, "h").withColumns({"place": F.row_number().over(order), "odd": _parities(F.col("h"), order)})
+    first = first.where("place <= floor(n / 5) + 1 AND classes > 1")
+    before = [F.lag("h", k + 1).over(order).alias(f"before{k}") for k in range(BEFORE)]
+    return first.select("id", "h", "root", "n", "odd", "place", (F.col("root") == F.col("most")).alias("most"), *before)
 
 
 def _rare_untied(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -120,21 +135,21 @@ def _rare_untied(placed: DataFrame, texts: DataFrame) -> DataFrame:
 
     Two sets of n <= m shingles at 4/5 share 4/9 of n + m of them: at least 8/9 of n, and 4/5 of m. In any one order they so share one of
     the first n/9 + 1 of the smaller and m/5 + 1 of the larger, rounded down. The order is from rare to frequent, so that what many lines hold is not met
-    on. The largest class of a shingle is not paired with itself. As such sets differ in (n + m) / 9 shingles at most, pairs whose parities tell more
-    apart are left out, which loses none.
+    on. The largest class of a shingle is not paired with itself. Such sets differ in (n + m) / 9 shingles at most, and all that come before the first
+    shared one are different. So a pair need be found at its first shared shingle only: it is left out where one of the BEFORE shingles
+    before is shared already, or where the places, or the parities, tell more shingles apart. None of it loses a pair.
     """
-    sets = placed.select("id", "root").distinct().join(texts, "id").select("id", "root", F.array_distinct(shingle_hashes(F.col("line"))).alias("h"))
-    shingles = sets.select("id", "root", F.size("h").alias("n"), F.explode("h").alias("h"))
-    held = shingles.groupBy("h", "root").agg(F.count("*").alias("held")).groupBy("h").agg(F.sum("held").alias("times"), F.max_by("root", "held").alias("most"), F.count("*").alias("classes"))
-    order = Window.partitionBy("id").orderBy("times", "h")
-    first = shingles.join(held, "h").withColumn("place", F.row_number().over(order)).where("place <= floor(n / 5) + 1 AND classes > 1")
-    first = checkpoint(first.join(sets.select("id", F.array(*_parities(F.col("h"))).alias("odd")), "id").select("h", "id", "root", "n", "odd", "place", (F.col("root") == F.col("most")).alias("most")))
-    larger = first.select("h", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("odd").alias("other_odd"), F.col("most").alias("other_most"))
-    smaller = first.where("place <= floor(n / 9) + 1")
-    apart = smaller.where("NOT most").join(larger, "h"), smaller.where("most").join(larger.where("NOT other_most"), "h")
-    differ = sum(F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other_odd", F.lit(k)))) for k in range(8))
-    apart = [x.where("root <> other_root AND n <= m AND 4 * m <= 5 * n").where(9 * differ <= F.col("n") + F.col("m")) for x in apart]
-    return _pairs(apart[0].union(apart[1]))
+    first = _rare_shingles(placed, texts)
+    before, other_before = [f"before{k}" for k in range(BEFORE)], [f"other_before{k}" for k in range(BEFORE)]
+    # One join: what is not of the largest class meets all, at side 0; what is of it meets the others only, at side 1.
+    smaller = first.where("place <= floor(n / 9) + 1").withColumn("side", F.col("most").cast("int"))
+    larger = first.withColumn("side", F.explode(F.when(F.col("most"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    larger = larger.select("h", "side", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("odd").alias("other_odd"), F.col("place").alias("other_place"), *[F.col(b).alias(f"other_{b}") for b in before])
+    differ = sum(F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other_odd", F.lit(k)))) for k in range(PLACES // 64))
+    met = smaller.join(larger, ["h", "side"]).where("root <> other_root AND n <= m AND 4 * m <= 5 * n AND 9 * (place + other_place - 2) <= n + m")
+    for b in before:
+        met = met.where(~F.coalesce(F.col(b).isin(*[F.col(o) for o in other_before]), F.lit(False)))
+    return _pairs(met.where(9 * differ <= F.col("n") + F.col("m")))
 
 
 def _linked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
@@ -151,6 +166,7 @@ def _linked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
         classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(further), "a", "b")
     release(lines)
     placed = checkpoint(_placed(met, classes))
+    release(lines)
     small, large = placed.where(F.col("lines") <= ALL_PAIRS), placed.where(F.col("lines") > ALL_PAIRS)
     left = _all_untied(small)
     if large.first() is not None:

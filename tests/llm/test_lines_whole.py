@@ -78,6 +78,23 @@ def test_rare_shingles_find_every_pair_of_unequal_length(spark):
     assert len(want) > 100 and got == want
 
 
+def test_rare_shingles_meet_a_pair_hardly_more_than_once(spark, monkeypatch):
+    """120 unlike lines that are drawn from one passage by many edits, some of them pairs: none is lost, and neither are unlike lines met nor like ones over and over."""
+    rng, passage, texts = random.Random(23), words(random.Random(24), 50).split(), []
+    for k in range(120):
+        own = [words(rng, 1) if rng.random() < 0.06 else w for w in passage]
+        texts += [" ".join(own)] + ([" ".join(own[:-1])] if k % 10 == 0 else [])
+    of = {x: k for k, x in enumerate(sorted(norm(x) for x in texts))}
+    placed = spark.createDataFrame([(7, k, k, len(of)) for k in of.values()], "band long, id long, root long, lines long")
+    lined = spark.createDataFrame([(k, 0, x) for x, k in of.items()], "id long, more long, line string")
+    seen, pairs = [], lines._pairs
+    monkeypatch.setattr(lines, "_pairs", lambda df: seen.append(df) or pairs(df))
+    got = {(r.a.id, r.b.id) for r in lines._verified(lines._rare_untied(placed, lined), lined).collect()}
+    want = {tuple(sorted((of[a], of[b]))) for a, b in brute_pairs(list(of))}
+    assert len(want) >= 12 and got == want
+    assert seen[0].count() <= 3 * len(want)
+
+
 def test_query_gives_the_kept_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: r.s for r in lines.dedup_lines(docs, short_copies=True).selectExpr("doc_id", "sha2(cast(text as binary), 256) AS s").collect()}
