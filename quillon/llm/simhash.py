@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint, slices, utf8
+from quillon.llm.common import checkpoint, slices, small_batches, utf8
 from quillon.llm.components import components
 
 SEED = 42
@@ -99,7 +99,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     without a doc_id keeps its null, and gets its component's smallest doc_id (null if there is none).
     Other columns are ignored; an empty table gives an empty result.
     """
-    prints = checkpoint(fingerprints(docs))
+    with small_batches(docs.sparkSession):
+        prints = checkpoint(fingerprints(docs))
     first = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     links = checkpoint(ball_links(first.select("fp")))
     # Components are found over fingerprints, whose number of distinct values is what counts here.

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from quillon.llm import lines
+from quillon.llm import lines, simhash
+from quillon.llm.common import ROWS
 from test_lines_chat import brute_pairs, brute_removed, words
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,18 @@ def test_line_dedup_loses_no_link_of_a_bucket(spark, monkeypatch):
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     gone = {doc for doc, _ in brute_removed(list(enumerate(texts)), brute_pairs(texts))}
     assert len(gone) == 10 and got == {k: "" if k in gone else x for k, x in enumerate(texts)}
+
+
+def test_near_dedup_hands_python_small_batches(spark, monkeypatch):
+    """Whole texts in batches of Spark's 10,000 rows took an executor beyond its memory."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.num_rows] * batch.num_rows, pa.int64())], ["doc_id", "fp"])
+
+    monkeypatch.setattr(simhash, "_fingerprint_batches", sizes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    assert simhash.near_duplicates(docs).agg(F.max("fp")).first()[0] <= ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
