@@ -35,8 +35,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 7
 #: Hubs that are drawn for a bucket whose lines the first one does not tie.
 FURTHER_HUBS = 3
-#: A bucket with more untied lines is settled by shared rare shingles in place of all its pairs; both ways are exact.
-ALL_PAIRS = 32
+#: A bucket with more lines, and more untied pairs a line, is settled by shared rare shingles in place of all its pairs; both ways are exact.
+ALL_PAIRS, PAIRS_PER_LINE = 32, 1024
 #: Places that a line's shingles fall on, of which the parities are compared, and earlier shingles that tell whether a pair was found at one of them.
 PLACES, BEFORE = 1024, 3
 
@@ -89,33 +89,57 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _placed(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(band, id, root, lines) of the buckets whose lines, the hub aside, are of more than one class; `lines` counts them."""
+    """(band, id, root, lines, untied, main) of the buckets whose lines, the hub aside, are of more than one class; `lines` counts them, `untied` the pairs of different classes, and `main` is the largest class."""
     roots = classes.select(F.col("node.id").alias("id"), F.col("root.id").alias("root"))
     placed = checkpoint(met.where("n > 2 AND id <> hub").select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("lines")).where("low < high").select("band", "lines")
-    return placed.join(mixed, "band").select("band", "id", "root", "lines")
+    held = placed.groupBy("band", "root").agg(F.count("*").alias("held")).groupBy("band")
+    untied = (F.sum("held") * F.sum("held") - F.sum(F.col("held") * F.col("held"))) / 2
+    mixed = held.agg(F.sum("held").alias("lines"), untied.alias("untied"), F.max_by("root", F.struct("held", "root")).alias("main")).where("untied > 0")
+    return placed.join(mixed, "band").select("band", "id", "root", "lines", "untied", "main")
 
 
-def _drawn(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each line with the hubs that are drawn for its bucket, but for those it is tied to."""
+def _sketches(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n, odd) of the lines of placed: the number of a line's shingles and, for each of PLACES places, whether an odd number of them falls there, in longs."""
+    shingles = placed.select("id").distinct().join(texts, "id").select("id", "more", F.explode(F.array_distinct(shingle_hashes(F.col("line")))).alias("h"))
+    counted = shingles.groupBy("id", "more").agg(F.count("*").alias("n"), *[F.bit_xor(x).alias(f"odd{k}") for k, x in enumerate(_places(F.col("h")))])
+    return counted.select("id", "n", F.array(*[f"odd{k}" for k in range(PLACES // 64)]).alias("odd"))
+
+
+def _may_be_alike(n: Column, odd: Column, m: Column, other_odd: Column) -> Column:
+    """False only for lines below SIMILARITY: sets of n and m shingles at 4/5 differ in (n + m) / 9 of them at most, and in at least as many as parities."""
+    differ = sum(F.bit_count(F.get(odd, F.lit(k)).bitwiseXOR(F.get(other_odd, F.lit(k)))) for k in range(PLACES // 64))
+    return (4 * m <= 5 * n) & (4 * n <= 5 * m) & (9 * differ <= n + m)
+
+
+def _drawn(placed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each line with the hubs that are drawn for its bucket, but for those it is tied to or cannot be like."""
     orders = [F.xxhash64("id", "band", F.lit(k)) for k in range(FURTHER_HUBS)]
     drawn = placed.groupBy("band").agg(*[F.min_by(F.struct(F.col("id").alias("other"), F.col("root").alias("other_root")), o).alias(f"hub{k}") for k, o in enumerate(orders)])
     hubs = drawn.select("band", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(FURTHER_HUBS)]))).alias("hub"))
-    return _pairs(placed.join(hubs, "band").select("id", "root", "hub.*").where("root <> other_root"))
+    pairs = _pairs(placed.join(hubs, "band").select("id", "root", "hub.*").where("root <> other_root"))
+    x, y = sketches.select(F.col("id").alias("a"), "n", "odd"), sketches.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("odd").alias("other_odd"))
+    return pairs.join(x, "a").join(y, "b").where(_may_be_alike(*map(F.col, ("n", "odd", "m", "other_odd")))).select("a", "b").distinct()
+
 
+def _all_untied(placed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs (a, b) of lines of one bucket that are of different classes and may be alike. Lines of a bucket's main class meet the others only."""
+    lines = placed.join(sketches, "id").withColumn("in_main", F.col("root") == F.col("main"))
+    other = lines.select("band", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("in_main").alias("other_in_main"), F.col("n").alias("m"), F.col("odd").alias("other_odd"))
+    met = lines.where("NOT in_main").join(other, "band").where("root <> other_root AND (other_in_main OR id < other)")
+    return _pairs(met.where(_may_be_alike(*map(F.col, ("n", "odd", "m", "other_odd")))))
 
-def _all_untied(placed: DataFrame) -> DataFrame:
-    """All pairs (a, b) of lines of one bucket that are of different classes."""
-    other = placed.select("band", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    return _pairs(placed.join(other, "band").where("id < other AND root <> other_root"))
+
+def _places(h: Column) -> list[Column]:
+    """For each long of a sketch the bit that a hash sets in it, if any."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright(h, 6).bitwiseAND(F.lit(PLACES // 64 - 1))
+    return [F.when(word == k, one).otherwise(F.lit(0).cast("long")) for k in range(PLACES // 64)]
 
 
 def _parities(h: Column, order: WindowSpec) -> Column:
     """Of a line's set of hashes, one a row, how many fall on each of PLACES places, as even or odd, in longs. Two sets differ in at least as many hashes as places."""
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright(h, 6).bitwiseAND(F.lit(PLACES // 64 - 1))
-    return F.array(*[F.bit_xor(F.when(word == k, one).otherwise(F.lit(0).cast("long"))).over(whole) for k in range(PLACES // 64)])
+    return F.array(*[F.bit_xor(x).over(whole) for x in _places(h)])
 
 
 def _rare_shingles(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -145,11 +169,10 @@ def _rare_untied(placed: DataFrame, texts: DataFrame) -> DataFrame:
     smaller = first.where("place <= floor(n / 9) + 1").withColumn("side", F.col("most").cast("int"))
     larger = first.withColumn("side", F.explode(F.when(F.col("most"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     larger = larger.select("h", "side", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("odd").alias("other_odd"), F.col("place").alias("other_place"), *[F.col(b).alias(f"other_{b}") for b in before])
-    differ = sum(F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other_odd", F.lit(k)))) for k in range(PLACES // 64))
     met = smaller.join(larger, ["h", "side"]).where("root <> other_root AND n <= m AND 4 * m <= 5 * n AND 9 * (place + other_place - 2) <= n + m")
     for b in before:
         met = met.where(~F.coalesce(F.col(b).isin(*[F.col(o) for o in other_before]), F.lit(False)))
-    return _pairs(met.where(9 * differ <= F.col("n") + F.col("m")))
+    return _pairs(met.where(_may_be_alike(*map(F.col, ("n", "odd", "m", "other_odd")))))
 
 
 def _linked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
@@ -161,14 +184,17 @@ def _linked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     found = checkpoint(_verified(_pairs(met.where("id <> hub").withColumnRenamed("hub", "other")), texts))
     classes = components(found, "a", "b")
     release(lines)
-    further = checkpoint(_verified(_drawn(_placed(met, classes)), texts))
+    placed = _placed(met, classes)
+    sketches = checkpoint(_sketches(placed, texts))
+    further = checkpoint(_verified(_drawn(placed, sketches), texts))
     if further.first() is not None:
         classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(further), "a", "b")
     release(lines)
     placed = checkpoint(_placed(met, classes))
     release(lines)
-    small, large = placed.where(F.col("lines") <= ALL_PAIRS), placed.where(F.col("lines") > ALL_PAIRS)
-    left = _all_untied(small)
+    few = (F.col("lines") <= ALL_PAIRS) | (F.col("untied") <= PAIRS_PER_LINE * F.col("lines"))
+    small, large = placed.where(few), placed.where(~few)
+    left = _all_untied(small, sketches)
     if large.first() is not None:
         left = left.union(_rare_untied(large, texts)).distinct()
     return [found, further], classes, checkpoint(_verified(left, texts))

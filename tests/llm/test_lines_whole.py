@@ -95,6 +95,45 @@ def test_rare_shingles_meet_a_pair_hardly_more_than_once(spark, monkeypatch):
     assert seen[0].count() <= 3 * len(want)
 
 
+def test_bucket_of_one_class_and_some_unlike_lines_needs_no_rare_shingles(spark, monkeypatch):
+    """One bucket of 80 lines of one class and 24 lines like no hub, ten of them in pairs and two like lines of the class: none is lost, unlike ones are not verified."""
+    rng = random.Random(29)
+    base = words(rng, 40).split()
+    texts = [" ".join([*base[:k % 40], words(rng, 1), *base[k % 40 + 1 :]]) for k in range(80)]
+    for k in range(12):
+        own = words(rng, 40).split()
+        texts.append(" ".join(own))
+        texts.append(" ".join(own[:-1]) if k < 5 else " ".join(base[:34] + own[:4]) if k < 7 else words(rng, 40))
+    rows = list(enumerate(texts))
+    made = lines.split_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {r.line: r.id for r in made.collect()}
+    one = spark.createDataFrame([(7, i, ids[norm(texts[0])], len(ids)) for i in ids.values()], "band long, id long, hub long, n long")
+    monkeypatch.setattr(lines, "buckets", lambda _: one)
+    monkeypatch.setattr(lines, "_rare_untied", None)
+    looked, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, texts: looked.append(pairs) or verified(pairs, texts))
+    want = brute_removed(rows, brute_pairs(texts))
+    assert len(want) >= 84 and removed(spark, rows) == want
+    assert sum(pairs.count() for pairs in looked[1:]) <= 2 * len(texts)
+
+
+def test_rare_shingles_settle_what_has_too_many_untied_pairs(spark, monkeypatch):
+    """The same links by all untied pairs and by rare shingles."""
+    rng, texts = random.Random(31), []
+    for _ in range(40):
+        own = words(rng, 16)
+        texts += [own, f"{own} {words(rng, 1)}"]
+    rows = list(enumerate(texts))
+    every = lambda made: made.select("id").distinct().crossJoin(made.agg(F.min("id").alias("hub"), F.count("*").alias("n"))).select(F.lit(7).cast("long").alias("band"), "id", "hub", "n")
+    monkeypatch.setattr(lines, "buckets", every)
+    want = brute_removed(rows, brute_pairs(texts))
+    called, rare = [], lines._rare_untied
+    monkeypatch.setattr(lines, "_rare_untied", lambda *given: called.append(1) or rare(*given))
+    assert len(want) == 40 and removed(spark, rows) == want and not called
+    monkeypatch.setattr(lines, "PAIRS_PER_LINE", 8)
+    assert removed(spark, rows) == want and called
+
+
 def test_query_gives_the_kept_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: r.s for r in lines.dedup_lines(docs, short_copies=True).selectExpr("doc_id", "sha2(cast(text as binary), 256) AS s").collect()}
