@@ -118,7 +118,7 @@ def _drawn(placed: DataFrame, sketches: DataFrame) -> DataFrame:
     hubs = drawn.select("band", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(FURTHER_HUBS)]))).alias("hub"))
     pairs = _pairs(placed.join(hubs, "band").select("id", "root", "hub.*").where("root <> other_root"))
     x, y = sketches.select(F.col("id").alias("a"), "n", "odd"), sketches.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("odd").alias("other_odd"))
-    return pairs.join(x, "a").join(y, "b").where(_may_be_alike(*map(F.col, ("n", "odd", "m", "other_odd")))).select("a", "b").distinct()
+    return pairs.join(x, "a").join(y, "b").where(_may_be_alike(*map(F.col, ("n", "odd", "m", "other_odd")))).select("a", "b")
 
 
 def _all_untied(placed: DataFrame, sketches: DataFrame) -> DataFrame:
