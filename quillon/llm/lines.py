@@ -43,8 +43,9 @@ PLACES, BEFORE = 1024, 3
 
 def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, line, id, more) of the lines with min_chars or more; id and more are 64 bits of hash each."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.lower(F.btrim("line", F.lit(" \t\r\x0b\x0c"))).alias("line")).where(F.char_length("line") >= min_chars)
+    # In lower case before it is split: the filter on lengths is moved below and would do it again.
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where(F.char_length("line") >= min_chars)
     return lines.withColumn("id", F.xxhash64("line")).withColumn("more", F.xxhash64(F.lit(1), "line"))
 
 
@@ -69,7 +70,7 @@ def buckets(lines: DataFrame) -> DataFrame:
     """(band, id, hub, n) of the different lines that share a band's hash with another; hub is the smallest of them, n counts the lines, copies included."""
     dealt = _bands(lines).repartition("band")
     hubs = dealt.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("high"), F.count("*").alias("n")).where("hub < high").select("band", "hub", "n")
-    return dealt.join(hubs, "band").select("band", "id", "hub", "n").distinct()
+    return dealt.join(hubs.hint("shuffle_hash"), "band").select("band", "id", "hub", "n").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def _linked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """Verified pairs (a, b) of full ids from hubs; the classes (node, root) that these make; verified pairs of what they leave untied in a bucket."""
     met = checkpoint(buckets(lines))
     release(lines)
-    texts = checkpoint(lines.select("id", "more", "line").join(met.select("id").distinct(), "id").dropDuplicates(["id", "more"]))
+    texts = checkpoint(lines.select("id", "more", "line").join(met.select("id").distinct().hint("shuffle_hash"), "id").dropDuplicates(["id", "more"]))
     release(lines)
     found = checkpoint(_verified(_pairs(met.where("id <> hub").withColumnRenamed("hub", "other")), texts))
     classes = components(found, "a", "b")
@@ -222,7 +223,7 @@ def removed_lines(docs: DataFrame, short_copies: bool = False) -> DataFrame:
     rooted = similar_classes(lines).select("node.id", "node.more", "root")
     places = placed.select("doc_id", "line_no", "id", "more").join(rooted, ["id", "more"], "left").select("doc_id", "line_no", F.coalesce("root", F.struct("id", "more")).alias("root"))
     first = places.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return places.join(first, "root").where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
+    return places.join(first.hint("shuffle_hash"), "root").where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
 
 
 def removed_by_document(docs: DataFrame, short_copies: bool = False) -> DataFrame:
