@@ -3,7 +3,7 @@ import uuid
 
 import pytest
 
-from quillon.llm import components
+from quillon.llm import components, lines
 
 
 def brute(edges):
@@ -55,3 +55,23 @@ def test_a_round_takes_few_stages(spark, monkeypatch):
     tracker = context.statusTracker()
     stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks}
     assert len(rounds) > 3 and len(stages) <= 7 * len(rounds)
+
+
+def test_bands_are_joined_without_sorting_them(spark):
+    """A line has 16 bands, so that sorting them costs more than all else that is done with them."""
+    made = lines.split_lines(spark.createDataFrame([(k, f"a line that is long enough to count, number {k % 5}") for k in range(20)], "doc_id long, text string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lines.buckets(made)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lines_are_in_lower_case_as_each_would_be_by_itself(spark):
+    """A text is put in lower case as a whole; a Greek sigma at the end of a line, and letters that grow, come out as in the line alone."""
+    texts = [" ΟΔΟΣ ΚΑΙ ΟΔΟΣ \nΣΟΦΙΑΣ\nΣ", "İSTANBUL\r\n\tÀB\x0b\n", "ΑΣ\nΑ", "Σ\n\nΣΑ"]
+    got = {(r.doc_id, r.line_no): r.line for r in lines.split_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1).collect()}
+    want = {(k, no): n for k, text in enumerate(texts) for no, x in enumerate(text.split("\n")) if (n := x.strip(" \t\r\x0b\x0c").lower())}
+    assert got == want
